@@ -6,25 +6,70 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import dedup, packing, tokens, vectors
 from .shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.finite(table(spark, sf_dir, "embeddings"))
+    whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("embedding"))
+    return vectors.top_k_inner_product(whole, whole.where("vec_id % 50 = 0"), k=5)
+
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, x AS y FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(x, y), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM q, v WHERE vec_id <> query_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+c AS (SELECT min(doc_id) AS node, list(doc_id) AS docs, list_sort(s) AS k, len(s) AS n FROM t GROUP BY list_sort(s), len(s)),
+x AS MATERIALIZED (SELECT node, n, unnest(k) AS g FROM c WHERE n > 0),
+l AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.g = b.g AND a.node <> b.node
+      GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT node, node AS root FROM c WHERE n > 0 UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(m.root, t.doc_id) AS component_id,
+       coalesce(m.root, t.doc_id) = t.doc_id AS kept
+FROM t LEFT JOIN (SELECT unnest(docs) AS doc_id, node FROM c WHERE n > 0) d USING (doc_id) LEFT JOIN m USING (node)
+"""
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, manifest = tokens.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
     return tokens.read_token_files(spark, out, manifest)
 
 
+def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.nearest_by_codes(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_token_id_files)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op5_token_id_files, op8_one_bit_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_top_k": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL}

@@ -68,6 +68,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -114,3 +115,25 @@ def slices(table_or_batch, column: str, limit: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield table_or_batch.slice(lo, hi - lo)
         lo = hi
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed; once an application."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = os.path.join(tempfile.mkdtemp(prefix="trellis-"), "trellis.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join(os.path.basename(top), os.path.relpath(path, top)))
+    spark.sparkContext.addPyFile(to)
