@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, packing, tokens, vectors
+from . import dedup, mixing, packing, tokens, vectors, warc
 from .shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,14 +62,33 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, out, manifest)
 
 
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_place").alias("place"), F.col("mix_slot").alias("slot"))
+    return mixed
+
+
 def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vectors.nearest_by_codes(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_pages(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = r"""
+WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) ||
+  'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) ||
+  'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) ||
+  'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM pages)
+SELECT page_id, strlen(r)::BIGINT AS record_bytes, sha256(r) AS record_sha256, FALSE AS damaged FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op5_token_id_files, op8_one_bit_codes)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op5_token_id_files, op7_pfair_mixing, op8_one_bit_codes, op9_warc_merkle_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op9_warc_merkle_audit": OP9_SQL}
