@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable
 
@@ -18,14 +19,21 @@ _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+#: Outside these, lower case or normal form may depend on a library's version or on neighbours.
+_RARE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: What may follow a word of letters as one run of symbols.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library whose normalizer and pre-tokenizer never join across white space.
+    """A tokenizer of the tokenizers library, with the ids of words it has seen kept in tables of bounded size.
 
-    For such a tokenizer the ids of a text are the ids of its white-space-free words, in turn. Each distinct word is
-    encoded once by the library and its ids kept (as little-endian unsigned 32-bit bytes) in a table of bounded size.
-    ``by_words`` says whether the file's rules allow that; otherwise every text goes to the library whole."""
+    If the file's rules drop white space and cut a text into runs of letters, single digits and runs of symbols before
+    its model sees them (``by_words``), the ids of a text are those of its words in turn, and those of a word of letters
+    with symbols behind it are those of the two parts. The model itself then encodes each new run of letters; anything
+    else goes through the whole library. Other tokenizers get every text whole. Ids are little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -36,37 +44,65 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         pre = json.dumps(rules.get("pre_tokenizer") or {})
-        self.by_words = '"Removed"' in pre and '"invert": true' in pre and r"[^\\s" in pre and (rules["model"].get("type") == "BPE")
+        self.by_words = '"Removed"' in pre and '"invert": true' in pre and r"[^\\s\\p{L}\\p{N}]+" in pre and rules["model"].get("type") == "BPE"
         self.vocab = self.tok.get_vocab_size()
-        self.keep, self.words = keep, {}
+        self.keep, self.words, self.runs, self.model = keep, {}, {}, self.tok.model
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level alphabet: others from 256 on
+        hidden = (b for b in range(256) if b not in shown)
+        self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        probes = ["the", "\u00e9t\u00e9", "stra\u00dfe", "unbelievably", "\u00f1", "zqxj"]
+        if self.by_words and [self._run(p) for p in probes] != self._encode(probes):
+            self.by_words = False
+        self.runs.clear()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _run(self, letters: str) -> bytes:
+        if (ids := self.runs.get(letters)) is None:
+            seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+            got = [t.id for t in self.model.tokenize(seen)]
+            ids = struct.pack(f"<{len(got)}I", *got)
+            if len(self.runs) >= self.keep:
+                self.runs.clear()
+            if len(letters) <= 64:
+                self.runs[letters] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if _RARE.search(word):
+            ids = self._encode([word])[0]
+        else:
+            low = word.lower()
+            letters = low.rstrip(_TAIL)
+            if not letters.isalpha():
+                ids = self._encode([low])[0]
+            elif len(letters) == len(low):
+                return self._run(low)
+            else:
+                tail = low[len(letters) :]
+                if (end := self.words.get(tail)) is None:
+                    end = self._encode([tail])[0]
+                    if len(tail) <= 64:
+                        self.words[tail] = end
+                ids = self._run(letters) + end
+        if len(self.words) >= self.keep:
+            self.words.clear()
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit bytes; a null text has none."""
+        """The ids; a null text has none."""
         if not text:
             return b""
         if not self.by_words:
             return self._encode([text])[0]
+        plain = not _RARE.search(text)
+        text = text.lower() if plain else text
         parts = _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
-        words = self.words
-        try:
-            return b"".join(map(words.__getitem__, parts))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(parts) if w not in words]
-        if len(words) + len(new) > self.keep:
-            words.clear()
-            new = list(dict.fromkeys(parts))
-        got = dict(zip(new, self._encode(new), strict=True))
-        words.update((w, ids) for w, ids in got.items() if len(w) <= 64)
-        long = {w: ids for w, ids in got.items() if len(w) > 64}
-        if long:
-            return b"".join(long[w] if w in long else words[w] for w in parts)
-        return b"".join(map(words.__getitem__, parts))
+        words, runs, word = self.words, self.runs, self._word
+        return b"".join([runs.get(w) or words.get(w) or word(w) for w in parts if w])
 
 
 def encoded(batches: Iterable, path: str, end_id: int | None):
