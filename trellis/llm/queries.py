@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, packing, tokens, vectors, warc
-from .shared import table
+from . import dedup, mixing, packing, quality, tokens, toxicity, vectors, warc
+from .shared import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,6 +57,17 @@ FROM t LEFT JOIN (SELECT unnest(docs) AS doc_id, node FROM c WHERE n > 0) d USIN
 """
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted on the label rows outside the held-out quarter."""
+    return quality.fit(docs, table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 4) != 2))
+
+
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, manifest = tokens.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
     return tokens.read_token_files(spark, out, manifest)
@@ -86,8 +97,19 @@ SELECT page_id, strlen(r)::BIGINT AS record_bytes, sha256(r) AS record_sha256, F
 """
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Fitted on the label rows outside the held-out fifth."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0))
+
+
+def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op5_token_id_files, op7_pfair_mixing, op8_one_bit_codes, op9_warc_merkle_audit)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op4_attention_quality, op5_token_id_files, op7_pfair_mixing, op8_one_bit_codes, op9_warc_merkle_audit, op10_boosted_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
