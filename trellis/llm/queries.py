@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, packing, quality, tokens, toxicity, vectors, warc
+from . import dedup, html, mixing, packing, quality, tokens, toxicity, vectors, warc
 from .shared import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +73,10 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, out, manifest)
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_place").alias("place"), F.col("mix_slot").alias("slot"))
@@ -109,7 +113,7 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op4_attention_quality, op5_token_id_files, op7_pfair_mixing, op8_one_bit_codes, op9_warc_merkle_audit, op10_boosted_toxicity)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_minhash_near_dedup, op4_attention_quality, op5_token_id_files, op6_html_main_text, op7_pfair_mixing, op8_one_bit_codes, op9_warc_merkle_audit, op10_boosted_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
