@@ -109,12 +109,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, part_rows: int = 8192, rounds:
     partition holds the rest, a round no longer saves a bin (then the packing before it stands), or after ``rounds``.
     A task never holds more than about part_rows rows whatever the size or skew of the input.
 
-    Empty input: empty result. Repeated rows are rows of their own. Rows with a null or out-of-range length are refused."""
+    Columns of these names (and _uid, _part, _final) are replaced. Empty input: empty result. Repeated rows are rows of their own. Rows with a null or out-of-range length are refused."""
     spark = pieces.sparkSession
-    columns = pieces.columns
-    taken = set(columns) & {"sequence_id", "offset", "certified"}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are this operator's own")
+    own = ("sequence_id", "offset", "certified", "_uid", "_part", "_final")
+    columns = [c for c in pieces.columns if c not in own]
+    pieces = pieces.select(*(F.col(f"`{c}`") for c in columns))
+    columns = [f"`{c}`" for c in columns]
     ok = F.col("length").between(1, capacity)
     checked = pieces.withColumn("length", F.when(ok, F.col("length")).otherwise(F.raise_error(F.lit(f"length must be 1 to {capacity}"))).cast("long"))
     base = Table(checked.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
