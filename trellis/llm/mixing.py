@@ -49,7 +49,7 @@ def phases(units: Mapping, blocks: Mapping) -> dict:
         names = sorted(left, key=lambda s: (s is not None, s))
         order = template([units[s] for s in names])
         period = len(order)
-        full = min(left[s] // units[s] for s in names)
+        full = min((left[s] - 1) // units[s] for s in names)
         places: dict = {s: [] for s in names}
         for slot, i in enumerate(order):
             places[names[i]].append(slot)
@@ -57,12 +57,11 @@ def phases(units: Mapping, blocks: Mapping) -> dict:
             plan[s].append((blocks[s] - left[s], units[s], start, period, places[s]))
             left[s] -= full * units[s]
         start += full * period
-        if all(left.values()):  # part of one more period, until a source has no block left
-            for i in order:
-                left[names[i]] -= 1
-                start += 1
-                if not left[names[i]]:
-                    break
+        for i in order:  # the last period, until a source has no block left
+            left[names[i]] -= 1
+            start += 1
+            if not left[names[i]]:
+                break
         left = {s: n for s, n in left.items() if n}
     return plan
 
@@ -90,38 +89,36 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars
     Ties (rows equal in doc_id and size) fall in any order; repeated rows stay. mix_* columns of docs are replaced."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("mix_block", "mix_place", "mix_slot")]
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.lit(1), F.length("text")).cast("long").alias("size"))
-    rows = rows.withColumn("size", F.coalesce("size", F.lit(1).cast("long"))).withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))))
-    few = rows.select("source", "size", "h")
+    pad = "_" * (1 + max((len(c) for c in keep), default=0))  # our own columns' names are longer than any of docs
+    source, size, h, bucket, inside, place, block, doc, phase = (pad + x for x in ("source", "size", "h", "bucket", "inside", "place", "block", "doc", "phase"))
+    length = F.coalesce(F.greatest(F.lit(1), F.length("text")), F.lit(1)).cast("long")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("source").cast("string").alias(source), F.col("doc_id").cast("long").alias(doc), length.alias(size))
+    rows = rows.withColumn(h, F.xxhash64(F.lit(seed), F.coalesce(doc, F.lit(-1))))
     buckets = max(1, min(1 << 20, -(-docs.select(F.lit(1)).count() // BUCKET_ROWS)))
-    bucket = F.floor(F.shiftrightunsigned("h", 44) * buckets / (1 << 20)).cast("int")
-    sums = Table(few.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")), "sums")
-    per_source = sums.df.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    totals = {r["source"]: r["size"] for r in per_source}
+    rows = rows.withColumn(bucket, F.floor(F.shiftrightunsigned(h, 44) * buckets / (1 << 20)).cast("int"))
+    sums = Table(rows.groupBy(F.col(source).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("size")), "sums")
+    totals = {r["source"]: r["size"] for r in sums.df.groupBy("source").agg(F.sum("size").alias("size")).collect()}  # a row a source
     if not totals:
         zero = F.lit(0).cast("long")
-        return docs.select(*keep, zero.alias("mix_block"), zero.alias("mix_place"), zero.alias("mix_slot"))
-    blocks = {s: -(-t // block_chars) for s, t in totals.items()}
-    plan = phases(target_units(totals, weights), blocks)
-    schema = "source string, plan array<struct<first: long, units: long, slot: long, period: long, places: array<int>>>"
-    table = spark.createDataFrame(list(plan.items()), schema)
+        return docs.select(*(F.col(f"`{c}`") for c in keep), zero.alias("mix_block"), zero.alias("mix_place"), zero.alias("mix_slot"))
+    plan = phases(target_units(totals, weights), {s: -(-t // block_chars) for s, t in totals.items()})
+    table = spark.createDataFrame(list(plan.items()), f"`{pad}other` string, `{pad}plan` array<struct<first: long, units: long, slot: long, period: long, places: array<int>>>")
     if sum(len(p[4]) for ps in plan.values() for p in ps) <= MAX_BROADCAST_SLOTS:
         table = F.broadcast(table)
-    same = F.col("source").eqNullSafe(F.col("other"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.df.select(F.col("source").alias("other"), F.col("bucket").alias("b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("bucket", bucket).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    starts = sums.df.select(F.col("source").alias(f"{pad}s"), F.col("bucket").alias(f"{pad}b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias(f"{pad}start"))
     if len(totals) * buckets <= MAX_BROADCAST_SLOTS:
         starts = F.broadcast(starts)
-    at = placed.join(starts, same & (F.col("bucket") == F.col("b"))).select("row", "source", (F.col("start") + F.col("inside")).alias("place"))
-    at = at.withColumn("block", F.floor(F.col("place") / block_chars).cast("long"))
-    joined = at.join(table.withColumnRenamed("source", "other"), same)
-    phase = F.element_at(F.filter("plan", lambda p: p["first"] <= F.col("block")), -1)
-    found = joined.select("row", "block", "place", phase.alias("p"))
-    nth = F.col("block") - F.col("p.first")
-    slot = F.col("p.slot") + F.floor(nth / F.col("p.units")) * F.col("p.period") + F.get(F.col("p.places"), (nth % F.col("p.units")).cast("int"))
-    return found.select("row.*", F.col("block").alias("mix_block"), F.col("place").alias("mix_place"), slot.cast("long").alias("mix_slot"))
+    run = Window.partitionBy(source, bucket).orderBy(h, doc, size).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn(inside, F.coalesce(F.sum(size).over(run), F.lit(0)))
+    placed = placed.join(starts, F.col(source).eqNullSafe(F.col(f"{pad}s")) & (F.col(bucket) == F.col(f"{pad}b")))
+    placed = placed.withColumn(place, F.col(f"{pad}start") + F.col(inside)).withColumn(block, F.floor(F.col(place) / block_chars).cast("long"))
+    joined = placed.join(table, F.col(source).eqNullSafe(F.col(f"{pad}other")))
+    last = F.element_at(F.filter(f"{pad}plan", lambda p: p["first"] <= F.col(block)), -1)
+    found = joined.withColumn(phase, last)
+    nth, p = F.col(block) - F.col(phase)["first"], F.col(phase)
+    slot = p["slot"] + F.floor(nth / p["units"]) * p["period"] + F.get(p["places"], (nth % p["units"]).cast("int"))
+    return found.select(*(F.col(f"`{c}`") for c in keep), F.col(block).alias("mix_block"), F.col(place).alias("mix_place"), slot.cast("long").alias("mix_slot"))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
