@@ -167,7 +167,7 @@ def test_ground_truth_of_fixtures(spark, data, name):
         got = mining.mine(r, eps, oracle=oracle)
         assert sum(len(v) for v in got.separators.values()) == SEPARATORS[name, eps]
         assert got.complete_full_mvds
-    assert mining.verify(r, 0.1) == []
+    assert mining.verify(r, 0.1) == [] and mining.self_check(r, 0.1) == []
     r.release()
 
 
@@ -343,6 +343,15 @@ def test_lattices_on_the_driver():
     assert lattice.most_specific_jd(2, 4) == (1, 4, 8)
 
 
+def test_reports():
+    from trellis.plans import report
+
+    assert report.dependencies([(1, 2, 0.25)], names=["a", "b"]) == "{a} ->> {b}  0.250000"
+    assert report.join_dependencies([JD(1, (2, 4), 0.5)]) == "{0} | {1} {2}  0.500000"
+    assert report.lattice_levels([(1, 1, 2), (0, 0, 2), (0, 0, 1)]) == "0: {} -> {0}  {} -> {1}\n1: {0} -> {1}"
+    assert report.runtime({"a": 1, "seconds": 0.5}) == "a        1\nseconds  0.5"
+
+
 def test_masks():
     assert bits.parse("{4, 9}") == 528 and bits.parse("{}") == 0 and bits.text(528) == "{4, 9}"
     assert bits.span(1, 3) == 6 and bits.next_set(8, 1) == 3 and bits.next_set(1, 1) == -1 and bits.next_unset(7, 0) == 3

@@ -1 +1 @@
-"""Package."""
+"""Functions on attribute sets."""

@@ -1 +1 @@
-"""Package."""
+"""Operators of the mining engine."""

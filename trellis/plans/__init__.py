@@ -1 +1 @@
-"""Package."""
+"""Entry points, reports, fixtures and registered queries."""

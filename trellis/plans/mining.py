@@ -9,8 +9,9 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bits
+from ..operators import measures, search, separators
 from ..operators import schema as schemas
-from ..operators import search, separators
 from ..operators.decompose import Decomposition, DecompositionJobs
 from ..operators.entropy import CUBE_ATTRIBUTES, EntropyOracle
 from ..operators.measures import JD
@@ -197,6 +198,20 @@ def verify(relation: Relation, epsilon: float) -> list[str]:
     return [f"{p}: mined {sorted(mined.separators.get(p, {}))}, implied {sorted(truth.get(p, set()))}" for p in sorted(set(mined.separators) | set(truth)) if set(mined.separators.get(p, {})) != truth.get(p, set())]
 
 
+def self_check(relation: Relation, epsilon: float) -> list[str]:
+    """Each mined separator by itself: its witness holds and keeps the pair apart, and no set with one attribute less
+    separates the pair; what fails, in words."""
+    oracle = oracle_of(relation)
+    bad = []
+    for (x, y), found in mine(relation, epsilon, with_full_mvds=False, oracle=oracle).separators.items():
+        for s, w in found.items():
+            if not w.splits(x, y) or measures.exceeds(measures.jd(oracle, s, w.components, oracle.full), epsilon):
+                bad.append(f"{(x, y)}: {w} is no witness of {s}")
+            less, _ = separators.run(oracle, {i: separators.witness(oracle, x, y, s & ~(1 << i), epsilon) for i in bits.members(s)})
+            bad += [f"{(x, y)}: {s} does without {i}" for i, w in less.items() if w is not None]
+    return bad
+
+
 def separators_of_mvds(mvds: Iterable[tuple[int, int, float]], n: int) -> dict[tuple[int, int], set[int]]:
     """The minimal separators that a complete set of MVDs implies: the left sides of those that split a pair."""
     sides: dict[tuple[int, int], set[int]] = {}

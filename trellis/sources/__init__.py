@@ -1 +1 @@
-"""Package."""
+"""Sources: relations and dependency files."""

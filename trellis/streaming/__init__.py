@@ -1 +1 @@
-"""Package."""
+"""Every input of the engine is a bounded relation; there is no streaming operator."""
