@@ -15,8 +15,10 @@ from .shared import Table, slices
 BANDS, ROWS = 48, 8
 #: Up to so many members of a bucket are compared in one task; larger buckets are split into blocks, compared two by two.
 BLOCK = 512
-#: So many representatives' ids may be broadcast (8 bytes each); more are joined by shuffle.
-MAX_BROADCAST_IDS = 100_000
+#: In groups of more members, only a spanning forest of the most similar pairs is verified at first.
+HOT = 32
+#: So many rows of one or two longs may be broadcast, by count; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -60,9 +62,31 @@ def least_matches(similarity: float, places: list[int], miss: float) -> list[int
     return out
 
 
-def _compare(percent: int, miss: float):
-    """Rows (bucket, i, j, block, band, node, n, bands), in order of (bucket, i, j): the pairs of each group that share
-    this band and none before it, and that neither set sizes nor the posterior rule out."""
+def _forest(x, y, hits):
+    """Of these pairs a spanning forest, the most agreements first."""
+    import numpy as np
+
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = v = up.get(w, w)
+        return v
+
+    keep = []
+    for k in np.argsort(-hits, kind="stable").tolist():
+        a, b = root(int(x[k])), root(int(y[k]))
+        if a != b:
+            up[a] = b
+            keep.append(k)
+    return x[keep], y[keep]
+
+
+def _compare(percent: int, miss: float, forest: bool):
+    """Rows (bucket, i, j, block, node, root, n, alone, bands), in order of (bucket, i, j): the pairs of each group,
+    of different roots, that share this band and none before it, and that neither the sizes of the sets (without the
+    ``alone`` shingles that no other set has) nor the posterior rule out. With ``forest``, groups of more than HOT rows
+    give a spanning forest of these pairs."""
 
     def run(batches):
         import numpy as np
@@ -71,12 +95,12 @@ def _compare(percent: int, miss: float):
         places = list(range(64, BANDS * ROWS + 1, 64))
         least = least_matches(percent / 100, places, miss)
 
-        def survivors(x, y, band, node, n, bands):
-            """The pairs (x[k], y[k]) of rows that stay."""
-            keep = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
-            keep &= node[x] != node[y]
+        def survivors(x, y, band, root, n, most, bands):
+            """The pairs (x[k], y[k]) of rows that stay, and the agreements of each."""
+            both = np.minimum(most[x], most[y])
+            keep = (both * 100 >= (n[x] + n[y] - both) * percent) & (root[x] != root[y])
             x, y = x[keep], y[keep]
-            out = []
+            out = [(x[:0], y[:0], x[:0])]
             for at in range(0, len(x), 1 << 16):
                 a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
                 same = bands[a] == bands[b]
@@ -89,21 +113,24 @@ def _compare(percent: int, miss: float):
                     hits += (np.ascontiguousarray(u).view(np.uint8) == np.ascontiguousarray(v).view(np.uint8)).sum(1)
                     ok = hits >= need
                     a, b, hits, seen = a[ok], b[ok], hits[ok], upto
-                out.append((a, b))
-            return [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2
+                out.append((a, b, hits))
+            return [np.concatenate(z) for z in zip(*out, strict=True)]
 
         def pairs(t):
-            bucket, i, j, block, band, node, n = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "band", "node", "n"))
+            bucket, i, j, block, node, root, n, alone = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "node", "root", "n", "alone"))
+            most, band = n - alone, bucket & 63
             bands = np.ascontiguousarray(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(-1, BANDS)
             new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             size = np.diff(np.r_[new, len(bucket)])
             xs, ys, held = [], [], 0
-            a, b = [], []
+            a, b, whole_group = [], [], False
 
             def flush():
                 nonlocal xs, ys, held
                 if xs:
-                    p, q = survivors(np.concatenate(xs), np.concatenate(ys), band, node, n, bands)
+                    p, q, hits = survivors(np.concatenate(xs), np.concatenate(ys), band, root, n, most, bands)
+                    if whole_group:
+                        p, q = _forest(p, q, hits)
                     a.append(p)
                     b.append(q)
                 xs, ys, held = [], [], 0
@@ -111,7 +138,10 @@ def _compare(percent: int, miss: float):
             for g in np.unique(size[size > 1]):
                 at = new[size == g]
                 p, q = np.triu_indices(int(g), 1)
-                step = max(1, (1 << 18) // len(p))
+                if forest and g > HOT and not whole_group:
+                    flush()
+                    whole_group = True
+                step = 1 if whole_group else max(1, (1 << 18) // len(p))
                 for k in range(0, len(at), step):
                     x, y = (at[k : k + step, None] + p).ravel(), (at[k : k + step, None] + q).ravel()
                     if g > 2:
@@ -120,7 +150,7 @@ def _compare(percent: int, miss: float):
                     xs.append(x)
                     ys.append(y)
                     held += len(x)
-                    if held >= 1 << 18:
+                    if held >= 1 << 18 or whole_group:
                         flush()
             flush()
             if a:
@@ -150,17 +180,57 @@ def _compare(percent: int, miss: float):
     return run
 
 
-def candidates(classes: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a < b) of nodes that share a band and survive the sequential test; classes: (node, n, bands)."""
-    spread = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    counts = Table(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    members = spread.join(counts.df, "bucket").join(classes, "node")
+def _spread(classes: DataFrame) -> DataFrame:
+    """(bucket, node) for each band; the lowest six bits of a bucket are the band's number."""
+    each = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    return each.select("node", F.expr("shiftleft(shiftright(xxhash64(band, key), 6), 6) | band").alias("bucket"))
+
+
+def _files(rows: int, per: int = 500_000) -> int:
+    return 1 + rows // per
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
+def candidates(members: DataFrame, classes: DataFrame, percent: int, miss: float, forest: bool) -> DataFrame:
+    """Pairs (a < b) of nodes that share a band and survive the sequential test. members: (bucket, members, node, root,
+    alone); classes: (node, n, bands)."""
     blocks = F.ceil(F.col("members") / BLOCK)
-    dealt = members.select("bucket", "band", "node", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    kept = ("bucket", "node", "root", "n", "alone", "bands")
+    dealt = members.join(classes, "node").select(*kept, blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node", "n", "bands")
+    dealt = dealt.select(*kept, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     grouped = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return grouped.mapInArrow(_compare(percent, miss), "a long, b long")
+    return grouped.mapInArrow(_compare(percent, miss, forest), "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    counted = _small(pairs, pairs.count()).join(left, "a").join(right, "b").select("a", "b", common.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
+    return counted.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b")
+
+
+def _remaining(classes: DataFrame, hot: DataFrame, sets: DataFrame, roots: DataFrame, rows: int, percent: int, miss: float) -> DataFrame:
+    """What the forests of hot buckets (bucket, members, node; at most so many rows) have left open: their pairs across components. A shingle
+    that one candidate alone has can be in no intersection, which rules out most pairs of texts with edits of their own
+    before any comparison."""
+    shingles = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    n = sets.count()
+    alone = Table(shingles.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "alone", _files(n))
+    known = sets.select("node").join(roots, "node", "left").join(alone.df, "node", "left")
+    known = Table(known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("alone", F.lit(0)).cast("long").alias("alone")), "known", _files(n))
+    members = Table(hot.join(_small(known.df, n), "node"), "hot", _files(rows))
+    mixed = members.df.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = Table(members.df.join(Table(mixed, "mixed", _files(rows)).df, "bucket"), "open", _files(rows))
+    nodes = Table(open_.df.select("node").distinct(), "nodes", _files(n))
+    few = classes.join(_small(nodes.df, nodes.df.count()), "node", "left_semi")
+    return candidates(open_.df, few, percent, miss, False)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -187,38 +257,51 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
 
     Equal sets become one node before anything else, so copies cost nothing. Nodes that share a band are compared by
     batches of 64 signature places; a pair goes as soon as its posterior chance to reach the threshold falls below
-    ``miss``. Every surviving pair is confirmed on the two full sets. Only texts of such pairs are shingled again.
+    ``miss``. Surviving pairs are confirmed on the two full sets; only texts of such pairs are shingled again. Of a hot
+    bucket a spanning forest of survivors is confirmed first, then every survivor between components that are still
+    apart: pairs within a component can't change the result.
 
     Texts that are null, empty or without words have no set: n_shingles 0, alone in their component. A null doc_id takes
     part with its text and is never kept; its component_id is null if all its component's ids are. Repeated rows with the
     same doc_id are copies of each other; both stay. Other columns are ignored."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = Table(sketch(plain), "sketch")
+    n_docs = sketches.df.count()
     grouped = sketches.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = Table(grouped, "classes")
-    pairs = Table(candidates(classes.df.select("node", "n", "bands"), percent, miss), "pairs")
-    nodes = Table(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).distinct(), "nodes")
-    wanted = classes.df.join(nodes.df, "node").select("node", "doc_id")
-    ids = wanted.select("doc_id").where("doc_id is not null").distinct()
+    classes = Table(grouped, "classes", _files(n_docs, 20_000))
+    sized = classes.df.select("node", "n", "bands")
+    counts = _spread(sized).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    counts = Table(counts, "buckets", _files(n_docs, 50_000))
+    rows = int(counts.df.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+    members = Table(_spread(sized).join(counts.df, "bucket").select("bucket", "members", "node"), "members", _files(n_docs, 20_000))
+    counts.drop()
+    first = members.df.select("bucket", "members", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("alone"))
+    pairs = Table(candidates(first, sized, percent, miss, True), "pairs", _files(rows, 20_000))
+    n_pairs = pairs.df.count()
+    nodes = Table(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).distinct(), "nodes", _files(n_pairs))
     n = nodes.df.count()
-    ids = F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
-    again = plain.join(ids, "doc_id", "left_semi").select("text").union(plain.where("doc_id is null").select("text"))
-    again = Table(_sets(again), "texts")
+    wanted = classes.df.select("node", "doc_id").join(_small(nodes.df, n), "node")
+    ids = _small(wanted.select("doc_id").where("doc_id is not null").distinct(), n)
+    again = plain.join(ids, "doc_id", "left_semi").select("text")
+    if not plain.where("doc_id is null").isEmpty():
+        again = again.union(plain.where("doc_id is null").select("text"))
     # a set may come more than once (repeated ids), or from another text under the same id
-    once = again.df.groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes.df, "node", "left_semi")
-    sets = Table(once, "sets")
-    left = sets.df.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.df.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    counted = pairs.df.join(left, "a").join(right, "b").select("a", "b", common.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    links = Table(counted.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b"), "links")
-    roots = Table(components(links.df), "roots")
-    for t in (pairs, nodes, again, sets, links):
+    once = _sets(again).groupBy("node").agg(F.first("shingles").alias("shingles")).join(_small(nodes.df, n), "node", "left_semi")
+    sets = Table(once, "sets", _files(n, 5_000))
+    links = Table(_verified(pairs.df, sets.df, percent), "links", _files(n_pairs))
+    roots = Table(components(links.df), "roots", _files(n))
+    hot = members.df.where(F.col("members") > HOT)
+    if not hot.isEmpty():
+        rest = Table(_remaining(sized, hot, sets.df, roots.df, rows, percent, miss), "rest", _files(rows, 20_000))
+        more = Table(_verified(rest.df, sets.df, percent), "more-links", _files(rows))
+        if not more.df.isEmpty():
+            roots = Table(components(links.df.union(more.df)), "roots", _files(n))
+    for t in (members, pairs, nodes, sets, links):
         t.drop()
     mine = classes.df.select("node", "doc_id").join(roots.df, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    mine = Table(mine, "members")
-    least = Table(mine.df.groupBy("root").agg(F.min("doc_id").alias("component")), "least")
-    named = Table(mine.df.join(least.df, "root").select("node", "component"), "named")
+    mine = Table(mine, "rooted", _files(n_docs))
+    least = Table(mine.df.groupBy("root").agg(F.min("doc_id").alias("component")), "least", _files(n_docs))
+    named = Table(mine.df.join(least.df, "root").select("node", "component"), "named", _files(n_docs))
     for t in (mine, least, roots, classes):
         t.drop()
     rows = sketches.df.select("doc_id", "n_shingles", "node")
@@ -230,5 +313,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near-duplicates, that with the smallest doc_id; all columns stay. Of rows
     that repeat a kept doc_id all stay."""
-    kept = Table(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept").df
+    kept = Table(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept", 1 + docs.count() // 500_000).df
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)

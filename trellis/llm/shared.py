@@ -49,11 +49,12 @@ def _clean() -> None:
 
 
 class Table:
-    """A DataFrame written as Parquet below the shared folder: lineage ends here, and a lost executor costs nothing."""
+    """A DataFrame written as Parquet below the shared folder: lineage ends here, and a lost executor costs nothing.
+    ``files`` is how many files its known size deserves; without it each partition makes one."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, files: int | None = None):
         self.spark, self.path, self.schema = df.sparkSession, new_path(df.sparkSession, label), df.schema
-        df.write.parquet(self.path)
+        (df.coalesce(files) if files else df).write.parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
@@ -106,6 +107,7 @@ def slices(table_or_batch, column: str, limit: int = 4 << 20):
     n = len(arr)
     if not n:
         return
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -115,6 +117,7 @@ def slices(table_or_batch, column: str, limit: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield table_or_batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # workers live on, and share the executor's memory
 
 
 _SHIPPED: set[str] = set()
