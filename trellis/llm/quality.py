@@ -30,7 +30,7 @@ def shape(word: str) -> int:
 class Passages:
     """Encodes texts passage by passage; shapes of words that were seen are kept, in a table of bounded size."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 100_000):
         self.keep, self.known = keep, {}
 
     def _shape(self, word: str) -> int:
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
         passages = Passages()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 x, first = passages(part.column("text").to_pylist())
                 x = x.astype(np.float32)
                 docs_x = [x[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(x)], strict=True)]
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         passages = Passages()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 yield pa.record_batch([part.column("doc_id"), pa.array(model.scores(part.column("text").to_pylist(), passages))], names=["doc_id", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -37,7 +37,7 @@ def folded(word: str) -> str:
 class Features:
     """Dense features of texts. Flags of words that were seen are kept, in a table of bounded size."""
 
-    def __init__(self, lexicon: frozenset[str], keep: int = 200_000):
+    def __init__(self, lexicon: frozenset[str], keep: int = 100_000):
         self.lexicon, self.keep, self.flags = lexicon, keep, {}
 
     def _flag(self, word: str) -> int:
@@ -95,7 +95,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> frozenset[str]
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 found: Counter = Counter()
                 for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
                     words = {plain(w) for w in text.split()} - {""}
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
         features = Features(lexicon)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 x = features(part.column("text").to_pylist())
                 yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         features = Features(model.lexicon)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 yield pa.record_batch([part.column("doc_id"), pa.array(model.scores(part.column("text").to_pylist(), features))], names=["doc_id", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,7 +186,7 @@ def select_rows(docs: DataFrame, features, model, test) -> DataFrame:
 
         encode = features()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 keep = test(model.scores(part.column("text").to_pylist(), encode))
                 if keep.any():
                     yield part.filter(pa.array(keep))
