@@ -33,4 +33,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int])
                 yield pa.record_batch([*part.columns, pa.array(first, pa.int64())], names=[*part.schema.names, "least"])
 
     marked = chosen.mapInArrow(least, "doc_id long, text string, label int, least long")
-    return Table(marked.dropDuplicates(["label", "least"]).drop("least"), "sample")
+    return Table(marked.dropDuplicates(["label", "least"]).drop("least"), "sample", 1 + sum(rows.values()) // 1000)

@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars
     rows = rows.withColumn(h, F.xxhash64(F.lit(seed), F.coalesce(doc, F.lit(-1))))
     buckets = max(1, min(1 << 20, -(-docs.select(F.lit(1)).count() // BUCKET_ROWS)))
     rows = rows.withColumn(bucket, F.floor(F.shiftrightunsigned(h, 44) * buckets / (1 << 20)).cast("int"))
-    sums = Table(rows.groupBy(F.col(source).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("size")), "sums")
+    sums = Table(rows.groupBy(F.col(source).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("size")), "sums", 1 + 20 * buckets // 500_000)
     totals = {r["source"]: r["size"] for r in sums.df.groupBy("source").agg(F.sum("size").alias("size")).collect()}  # a row a source
     if not totals:
         zero = F.lit(0).cast("long")

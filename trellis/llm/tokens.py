@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, filesystem, new_path, put_file, slices
+from .shared import filesystem, new_path, put_file, slices
 
 #: Unicode white space; str.split() would also split at U+001C..U+001F, which the tokenizer keeps.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -193,10 +193,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, e
         yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64())], names=["shard", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = Table(ordered.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "manifest")
-    manifest = sorted((r.shard, r.n_docs, r.n_tokens) for r in done.df.collect())
-    done.drop()
-    return out, manifest
+    done = ordered.mapInArrow(write, "shard long, n_docs long, n_tokens long")
+    return out, sorted((r.shard, r.n_docs, r.n_tokens) for r in done.collect())  # a row a file
 
 
 def read_token_files(spark, out: str, manifest: list[tuple[int, int, int]]) -> DataFrame:

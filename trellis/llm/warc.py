@@ -189,17 +189,18 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("file", "level", "node")]
         return a.join(b, same, "left").where(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select("a.file", "a.level", "a.node", "a.start", "a.end")
 
-    bad = Table(differing(left.join(tops, ["file", "level"])), "differing")
-    files, found = bad.df.select("file").distinct(), None
+    files = 1 + left.where("level = 0").count() // 500_000
+    bad = Table(differing(left.join(tops, ["file", "level"])), "differing", files)
+    named = bad.df.select("file").distinct()
     for level in range(depth - 1, -1, -1):
         if bad.df.isEmpty():
             break
         above = bad.df.where(F.col("level") == level + 1).select("file", F.col("node").alias("parent"))
         here = left.where(F.col("level") == level).withColumn("parent", F.floor(F.col("node") / FANOUT).cast("int"))
         below = differing(here.join(above, ["file", "parent"], "left_semi").drop("parent"))
-        bad = Table(below.union(bad.df.where(F.col("level") <= level)), "differing")
+        bad = Table(below.union(bad.df.where(F.col("level") <= level)), "differing", files)
     found = bad.df.where("level = 0").select("file", "node", "start", "end")
-    rest = left.join(tops, ["file", "level"]).join(files.join(found.select("file"), "file", "left_anti"), "file", "left_semi")
+    rest = left.join(tops, ["file", "level"]).join(named.join(found.select("file"), "file", "left_anti"), "file", "left_semi")
     return found.union(rest.select("file", F.lit(-1).alias("node"), F.col("end").alias("start"), "end"))
 
 
