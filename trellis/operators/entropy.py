@@ -15,6 +15,8 @@ from ..sources.relation import Relation
 
 #: Grouping sets of one job: each multiplies the rows that enter the aggregation.
 SETS_PER_JOB = 64
+#: Rows that one job expands to at most: larger relations get fewer sets to a job.
+ROWS_PER_JOB = 20_000_000_000
 #: A full cube is for relations of at most so many attributes.
 CUBE_ATTRIBUTES = 12
 
@@ -115,8 +117,11 @@ class EntropyOracle:
         todo = sorted(m for m in masks if m not in self.known and not self._implied(m))
         # small sets first: a key among them spares its supersets
         todo.sort(key=lambda m: (m.bit_count(), m))
+        per_job = self.sets_per_job
+        if todo:
+            per_job = max(1, min(per_job, ROWS_PER_JOB // max(1, self.relation.distinct_rows)))
         while todo:
-            part, todo = todo[: self.sets_per_job], todo[self.sets_per_job :]
+            part, todo = todo[:per_job], todo[per_job:]
             began = time.monotonic()
             rows = entropies(self.relation, part).collect()  # a row a set
             self.metrics.seconds += time.monotonic() - began

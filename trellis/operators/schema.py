@@ -43,11 +43,12 @@ def c_compatible(s: Column, cs: Column, t: Column, ds: Column) -> Column:
 
 
 def conflicts(jds: DataFrame) -> DataFrame:
-    """(a, b) of the JDs (id, lhs, components) that don't go together, a < b. The JDs of a relation are few; all pairs of
-    them are looked at by a join of the ids."""
-    a = jds.select(F.col("id").alias("a"), F.col("lhs").alias("s"), F.col("components").alias("cs"))
+    """(a, b) of the JDs (id, lhs, components) that don't go together, a < b; ids are 0, 1, 2, ... Each JD asks for those
+    after it by id, an equi-join."""
+    last = jds.count() - 1
+    a = jds.select(F.col("id").alias("a"), F.col("lhs").alias("s"), F.col("components").alias("cs")).where(F.col("a") < last)
     b = jds.select(F.col("id").alias("b"), F.col("lhs").alias("t"), F.col("components").alias("ds"))
-    both = a.join(b, F.col("a") < F.col("b"))
+    both = a.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.lit(last)))).join(b, "b")
     return both.where(~c_compatible(F.col("s"), F.col("cs"), F.col("t"), F.col("ds"))).select("a", "b")
 
 
@@ -141,6 +142,7 @@ def acyclic_schemas(n: int, jds: Sequence[JD], allow_nested: bool = False) -> It
 def best(schemas: DataFrame) -> DataFrame:
     """The schemas (schema_id, clusters, largest_cluster, largest_separator) that are best by one criterion, ties included:
     most clusters, smallest largest cluster, smallest largest separator."""
-    top = schemas.agg(F.max("clusters").alias("x"), F.min("largest_cluster").alias("y"), F.min("largest_separator").alias("z"))
-    each = F.array(F.struct(F.lit("most clusters").alias("c"), (F.col("clusters") == F.col("x")).alias("ok")), F.struct(F.lit("smallest largest cluster").alias("c"), (F.col("largest_cluster") == F.col("y")).alias("ok")), F.struct(F.lit("smallest largest separator").alias("c"), (F.col("largest_separator") == F.col("z")).alias("ok")))
-    return schemas.join(F.broadcast(top)).select("schema_id", F.explode(each).alias("e")).where("e.ok").select(F.col("e.c").alias("criterion"), "schema_id")
+    top = schemas.agg(F.max("clusters"), F.min("largest_cluster"), F.min("largest_separator")).first()
+    each = [("most clusters", "clusters", top[0]), ("smallest largest cluster", "largest_cluster", top[1]), ("smallest largest separator", "largest_separator", top[2])]
+    named = F.array(*(F.when(F.col(c) == v, F.lit(name)) for name, c, v in each))
+    return schemas.select(F.explode(named).alias("criterion"), "schema_id").where("criterion is not null")
