@@ -90,7 +90,22 @@ def test_hot_groups(docs_of, monkeypatch):
     base = words(rng, 120)
     rows = [(i, " ".join(edited(rng, base, rng.choice([0, 1, 2, 3, 4, 6])))) for i in range(700)]
     rows += [(1000 + i, " ".join(base)) for i in range(300)]
-    rows += [(2000 + i, "the same long line of boilerplate words here " + " ".join(words(rng, 20))) for i in range(200)]
+    rows += [(1500 + i, " ".join(edited(rng, words(random.Random(1), 150), rng.choice([1, 2, 3])))) for i in range(900)]
+    rows += [(2000 + i + 1000, "the same long line of boilerplate words here " + " ".join(words(rng, 20))) for i in range(200)]
+    same(docs_of, rows)
+
+
+def test_buckets_of_many_blocks(docs_of, monkeypatch):
+    for name, value in (("BLOCK", 40), ("SHARED", 4), ("HOT", 8)):
+        monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(10)
+    base = words(rng, 150)
+    rows = []
+    for i in range(500):
+        one = edited(rng, base, 4)
+        rows.append((2 * i, " ".join(one)))
+        if i % 5 == 0:  # a partner of its own, in any block
+            rows.append((2 * i + 1, " ".join(edited(rng, one, 1))))
     same(docs_of, rows)
 
 

@@ -13,8 +13,10 @@ from .shared import Table, slices
 #: Bands of eight one-byte signature places: a band's key is its eight bytes. At a similarity of 0.85 all bands miss a pair
 #: with a probability of (1 - 0.85**8)**48 = 2e-7.
 BANDS, ROWS = 48, 8
-#: Up to so many members of a bucket are compared in one task; larger buckets are split into blocks, compared two by two.
+#: Members of a bucket that one task compares with each other or with as many others; larger buckets are dealt to blocks.
 BLOCK = 512
+#: Members of a bucket, on average, that all its blocks have.
+SHARED = 16
 #: In groups of more members, only a spanning forest of the most similar pairs is verified at first.
 HOT = 32
 #: So many rows of one or two longs may be broadcast, by count; more are joined by shuffle.
@@ -87,6 +89,7 @@ def _compare(percent: int, miss: float, forest: bool):
     of different roots, that share this band and none before it, and that neither the sizes of the sets (without the
     ``alone`` shingles that no other set has) nor the posterior rule out. With ``forest``, groups of more than HOT rows
     give a spanning forest of these pairs."""
+    hot = HOT
 
     def run(batches):
         import numpy as np
@@ -138,7 +141,7 @@ def _compare(percent: int, miss: float, forest: bool):
             for g in np.unique(size[size > 1]):
                 at = new[size == g]
                 p, q = np.triu_indices(int(g), 1)
-                if forest and g > HOT and not whole_group:
+                if forest and g > hot and not whole_group:
                     flush()
                     whole_group = True
                 step = 1 if whole_group else max(1, (1 << 18) // len(p))
@@ -195,18 +198,40 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def candidates(members: DataFrame, classes: DataFrame, percent: int, miss: float, forest: bool) -> DataFrame:
-    """Pairs (a < b) of nodes that share a band and survive the sequential test. members: (bucket, members, node, root,
-    alone); classes: (node, n, bands)."""
-    blocks = F.ceil(F.col("members") / BLOCK)
-    kept = ("bucket", "node", "root", "n", "alone", "bands")
-    dealt = members.join(classes, "node").select(*kept, blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(*kept, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+_KEPT = ("bucket", "node", "root", "n", "alone", "bands")
+
+
+def _compared(dealt: DataFrame, percent: int, miss: float, forest: bool) -> DataFrame:
     grouped = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return grouped.mapInArrow(_compare(percent, miss, forest), "a long, b long")
 
 
+def candidates(members: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs (a < b) of nodes that share a band and survive the sequential test: all of small buckets, a spanning forest
+    of each block of larger ones. A bucket's blocks have some members in common, so that the forests of a dense group hang
+    together; what doesn't is left to _remaining(). members: (bucket, members, node, root, alone); classes: (node, n,
+    bands). The rows dealt grow as the members do, whatever the size of a bucket."""
+    blocks = F.ceil(F.col("members") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    common = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < SHARED)
+    dealt = members.join(classes, "node").select(*_KEPT, F.explode(F.when(common, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))).alias("i"))
+    return _compared(dealt.select(*_KEPT, "i", F.col("i").alias("j"), F.lit(0).cast("long").alias("block")), percent, miss, True)
+
+
+def _across(open_: DataFrame, classes: DataFrame, files: int, percent: int, miss: float) -> DataFrame:
+    """Pairs between the components of a bucket: every member outside the bucket's largest component against all members,
+    block by block. open_: (bucket, node, root, alone)."""
+    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
+    largest = Table(largest.select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("outer")), "largest", files).df
+    rows = open_.join(largest, "bucket").join(classes, "node")
+    mine, outside = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("outer"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    every = rows.select(*_KEPT, F.explode(F.sequence(one, F.col("outer"))).alias("i"), (-1 - mine).alias("j"), zero.alias("block"))
+    few = rows.where("root <> top").select(*_KEPT, (outside + 1).alias("i"), F.explode(F.sequence(-F.col("blocks"), -one)).alias("j"), one.alias("block"))
+    return _compared(every.union(few), percent, miss, False).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -218,19 +243,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _remaining(classes: DataFrame, hot: DataFrame, sets: DataFrame, roots: DataFrame, rows: int, percent: int, miss: float) -> DataFrame:
     """What the forests of hot buckets (bucket, members, node; at most so many rows) have left open: their pairs across components. A shingle
-    that one candidate alone has can be in no intersection, which rules out most pairs of texts with edits of their own
-    before any comparison."""
+    that one candidate alone has can be in no intersection: a text with too many of these has no link at all, and most
+    pairs of texts with edits of their own are ruled out before any comparison."""
     shingles = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
     n = sets.count()
+    sizes = sets.select("node", F.size("shingles").alias("n"))
     alone = Table(shingles.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "alone", _files(n))
     known = sets.select("node").join(roots, "node", "left").join(alone.df, "node", "left")
     known = Table(known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("alone", F.lit(0)).cast("long").alias("alone")), "known", _files(n))
-    members = Table(hot.join(_small(known.df, n), "node"), "hot", _files(rows))
+    usable = known.df.join(sizes, "node").where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "root", "alone")
+    members = Table(hot.join(_small(usable, n), "node").select("bucket", "node", "root", "alone"), "hot", _files(rows))
     mixed = members.df.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     open_ = Table(members.df.join(Table(mixed, "mixed", _files(rows)).df, "bucket"), "open", _files(rows))
     nodes = Table(open_.df.select("node").distinct(), "nodes", _files(n))
     few = classes.join(_small(nodes.df, nodes.df.count()), "node", "left_semi")
-    return candidates(open_.df, few, percent, miss, False)
+    return _across(open_.df, few, _files(rows), percent, miss)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -272,13 +299,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     sized = classes.df.select("node", "n", "bands")
     counts = _spread(sized).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     counts = Table(counts, "buckets", _files(n_docs, 50_000))
-    rows = int(counts.df.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
-    members = Table(_spread(sized).join(counts.df, "bucket").select("bucket", "members", "node"), "members", _files(n_docs, 20_000))
+    rows, n_buckets = counts.df.agg(F.coalesce(F.sum("members"), F.lit(0)).cast("long"), F.count(F.lit(1))).first()
+    members = Table(_spread(sized).join(_small(counts.df, n_buckets), "bucket").select("bucket", "members", "node"), "members", _files(n_docs, 20_000))
     counts.drop()
     first = members.df.select("bucket", "members", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("alone"))
-    pairs = Table(candidates(first, sized, percent, miss, True), "pairs", _files(rows, 20_000))
+    pairs = Table(candidates(first, sized, percent, miss), "pairs", _files(rows, 20_000))
     n_pairs = pairs.df.count()
-    nodes = Table(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).distinct(), "nodes", _files(n_pairs))
+    # in a bucket of several blocks a member may have its only partner in another block
+    several = members.df.where(F.col("members") > BLOCK).select("node")
+    nodes = pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).union(several).distinct()
+    nodes = Table(nodes, "nodes", _files(n_pairs + rows))
     n = nodes.df.count()
     wanted = classes.df.select("node", "doc_id").join(_small(nodes.df, n), "node")
     ids = _small(wanted.select("doc_id").where("doc_id is not null").distinct(), n)
@@ -288,12 +318,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     # a set may come more than once (repeated ids), or from another text under the same id
     once = _sets(again).groupBy("node").agg(F.first("shingles").alias("shingles")).join(_small(nodes.df, n), "node", "left_semi")
     sets = Table(once, "sets", _files(n, 5_000))
-    links = Table(_verified(pairs.df, sets.df, percent), "links", _files(n_pairs))
+    links = Table(_verified(pairs.df, sets.df, percent), "links", _files(n_pairs, 5_000))
     roots = Table(components(links.df), "roots", _files(n))
     hot = members.df.where(F.col("members") > HOT)
     if not hot.isEmpty():
         rest = Table(_remaining(sized, hot, sets.df, roots.df, rows, percent, miss), "rest", _files(rows, 20_000))
-        more = Table(_verified(rest.df, sets.df, percent), "more-links", _files(rows))
+        more = Table(_verified(rest.df, sets.df, percent), "more-links", _files(rest.df.count(), 5_000))
         if not more.df.isEmpty():
             roots = Table(components(links.df.union(more.df)), "roots", _files(n))
     for t in (members, pairs, nodes, sets, links):
