@@ -134,3 +134,25 @@ def test_query_against_brute_force(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(map(tuple, op3_minhash_near_dedup(spark, sf).collect()))
     assert got == sorted(near_duplicates(rows))
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 80, 85, 95])
+def test_bands_miss_hardly_a_pair_at_the_threshold(percent):
+    n, places = dedup.bands(percent)
+    assert n <= 64 and n % 8 == 0 and (1 - (percent / 100) ** places) ** n <= 3e-7
+
+
+def test_the_stage_takes_a_similarity_of_four_fifths(spark, docs_of):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):  # 204 words: 2 edits far from each other leave (200 - 10) / (200 + 10) = 0.905, 4 leave 0.818
+        base = words(rng, 204)
+        rows.append((2 * i, " ".join(base)))
+        for at in (10, 60, 110, 160)[: 2 if i % 3 else 4]:
+            base[at] = f"e{i}x{at}"
+        rows.append((2 * i + 1, " ".join(base)))
+    want = sorted(r[0] for r in near_duplicates(rows, 80) if r[3])
+    assert want == list(range(0, 120, 2)) and len([r for r in near_duplicates(rows, 85) if r[3]]) == 80
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "").collect()) == want

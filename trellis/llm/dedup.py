@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Table, slices
 
-#: Bands of eight one-byte signature places: a band's key is its eight bytes. At a similarity of 0.85 all bands miss a pair
-#: with a probability of (1 - 0.85**8)**48 = 2e-7.
-BANDS, ROWS = 48, 8
+#: Fewest and most bands; a band is eight one-byte signature places, of which bands() says how many make its key.
+BANDS, MOST_BANDS, ROWS = 48, 64, 8
+#: All bands together may miss a pair at the threshold with this probability.
+MISSED = 3e-7
 #: Members of a bucket that one task compares with each other or with as many others; larger buckets are dealt to blocks.
 BLOCK = 512
 #: Members of a bucket, on average, that all its blocks have.
@@ -23,7 +24,18 @@ HOT = 32
 MAX_BROADCAST_ROWS = 500_000
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def bands(percent: int) -> tuple[int, int]:
+    """(number of bands, places in a band's key) for a threshold: the longest keys with which so many bands miss a pair at
+    the threshold with a probability of at most MISSED. 48 bands of 8 for 0.85 (2e-7), 64 of 7 for 0.80 (2.9e-7)."""
+    for places in range(ROWS, 0, -1):
+        hit = (percent / 100) ** places
+        least = math.log(MISSED) / math.log1p(-hit) if hit < 1 else 0
+        if least <= MOST_BANDS:
+            return max(BANDS, 8 * math.ceil(least / 8)), places
+    raise ValueError(f"{MOST_BANDS} bands can't find the pairs of a similarity of {percent} percent")
+
+
+def sketch(docs: DataFrame, n_bands: int) -> DataFrame:
     """(doc_id, n_shingles, node, bands): node is a 64-bit hash of the whole shingle set, null without shingles."""
 
     def rows(batches):
@@ -36,14 +48,14 @@ def sketch(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
                 some = [i for i, s in enumerate(sets) if len(s)]
-                node, bands = np.zeros(len(sets), np.int64), np.zeros((len(sets), BANDS), np.int64)
+                node, words = np.zeros(len(sets), np.int64), np.zeros((len(sets), n_bands), np.int64)
                 if some:
                     full = [sets[i] for i in some]
                     node[some] = set_hash(full).view(np.int64)
-                    bands[some] = signatures(full, BANDS * ROWS).view(np.int64)
+                    words[some] = signatures(full, n_bands * ROWS).view(np.int64)
                 none = np.ones(len(sets), bool)
                 none[some] = False
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n_bands), pa.array(words.ravel()))
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, mask=none), lists], names=["doc_id", "n_shingles", "node", "bands"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -90,12 +102,14 @@ def _compare(percent: int, miss: float, forest: bool):
     ``alone`` shingles that no other set has) nor the posterior rule out. With ``forest``, groups of more than HOT rows
     give a spanning forest of these pairs."""
     hot = HOT
+    n_bands, key_places = bands(percent)
+    key_mask = -1 << 8 * (ROWS - key_places)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        places = list(range(64, BANDS * ROWS + 1, 64))
+        places = list(range(64, n_bands * ROWS + 1, 64))
         least = least_matches(percent / 100, places, miss)
 
         def survivors(x, y, band, root, n, most, bands):
@@ -106,8 +120,8 @@ def _compare(percent: int, miss: float, forest: bool):
             out = [(x[:0], y[:0], x[:0])]
             for at in range(0, len(x), 1 << 16):
                 a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                same = bands[a] == bands[b]
-                first = np.where(same.any(1), same.argmax(1), BANDS)
+                same = (bands[a] ^ bands[b]) & np.int64(key_mask) == 0
+                first = np.where(same.any(1), same.argmax(1), n_bands)
                 ok = first == band[a]
                 a, b = a[ok], b[ok]
                 hits, seen = np.zeros(len(a), np.int64), 0
@@ -122,7 +136,7 @@ def _compare(percent: int, miss: float, forest: bool):
         def pairs(t):
             bucket, i, j, block, node, root, n, alone = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "node", "root", "n", "alone"))
             most, band = n - alone, bucket & 63
-            bands = np.ascontiguousarray(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(-1, BANDS)
+            bands = np.ascontiguousarray(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(-1, n_bands)
             new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             size = np.diff(np.r_[new, len(bucket)])
             xs, ys, held = [], [], 0
@@ -183,9 +197,10 @@ def _compare(percent: int, miss: float, forest: bool):
     return run
 
 
-def _spread(classes: DataFrame) -> DataFrame:
+def _spread(classes: DataFrame, key_places: int) -> DataFrame:
     """(bucket, node) for each band; the lowest six bits of a bucket are the band's number."""
-    each = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    key_mask = F.lit(-1 << 8 * (ROWS - key_places)).cast("long")
+    each = classes.select("node", F.posexplode("bands").alias("band", "word")).select("node", "band", F.col("word").bitwiseAND(key_mask).alias("key"))
     return each.select("node", F.expr("shiftleft(shiftright(xxhash64(band, key), 6), 6) | band").alias("bucket"))
 
 
@@ -292,15 +307,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     part with its text and is never kept; its component_id is null if all its component's ids are. Repeated rows with the
     same doc_id are copies of each other; both stay. Other columns are ignored."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = Table(sketch(plain), "sketch")
+    n_bands, key_places = bands(percent)
+    sketches = Table(sketch(plain, n_bands), "sketch")
     n_docs = sketches.df.count()
     grouped = sketches.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = Table(grouped, "classes", _files(n_docs, 20_000))
     sized = classes.df.select("node", "n", "bands")
-    counts = _spread(sized).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    counts = _spread(sized, key_places).groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     counts = Table(counts, "buckets", _files(n_docs, 50_000))
     rows, n_buckets = counts.df.agg(F.coalesce(F.sum("members"), F.lit(0)).cast("long"), F.count(F.lit(1))).first()
-    members = Table(_spread(sized).join(_small(counts.df, n_buckets), "bucket").select("bucket", "members", "node"), "members", _files(n_docs, 20_000))
+    members = Table(_spread(sized, key_places).join(_small(counts.df, n_buckets), "bucket").select("bucket", "members", "node"), "members", _files(n_docs, 20_000))
     counts.drop()
     first = members.df.select("bucket", "members", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("alone"))
     pairs = Table(candidates(first, sized, percent, miss), "pairs", _files(rows, 20_000))
@@ -340,8 +356,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     return joined.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near-duplicates, that with the smallest doc_id; all columns stay. Of rows
     that repeat a kept doc_id all stay."""
-    kept = Table(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept", 1 + docs.count() // 500_000).df
+    kept = Table(near_duplicates(docs, percent).where("kept").select("doc_id").distinct(), "kept", 1 + docs.count() // 500_000).df
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
