@@ -102,3 +102,26 @@ def test_query_against_brute_force(spark, data):
     got = op7_pfair_mixing(spark, sf).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["slot"] for r in got} == brute(rows, None, 32768, {r["doc_id"]: r["place"] for r in got})
+
+
+@pytest.mark.parametrize("weights", [{"hot": 0.5}, {"hot": 0.3996, "rare": 0.0004}])
+def test_target_weights_hold_with_many_sources_and_small_weights(weights):
+    n = 5000 if "rare" not in weights else 40
+    others = [f"s{i}" for i in range(n)]
+    weights = {**weights, **{s: (1 - sum(weights.values())) / n for s in others}}
+    totals = {s: 1 << 20 if s in others else 1 << 30 for s in weights}
+    units = mixing.target_units(totals, weights)
+    blocks = sum(-(-t // 32768) for t in totals.values())
+    assert all(abs(u / sum(units.values()) - weights[s]) * blocks < 0.01 for s, u in units.items())
+
+
+def test_a_schedule_keeps_real_weights_to_a_block():
+    weights = {"a": 0.7, "b": 0.2995, "rare": 0.0005}
+    totals = {s: round(32768 * 20000 * w) for s, w in weights.items()}
+    blocks = {s: -(-t // 32768) for s, t in totals.items()}
+    got = slots(mixing.target_units(totals, weights), blocks)
+    end = min(v[-1] for v in got.values())
+    for s, v in got.items():
+        assert all(abs(k - weights[s] * x) < 1.01 and abs(k + 1 - weights[s] * (x + 1)) < 1.01 for k, x in enumerate(v) if x <= end)
+    rows = list(mixing.schedule(mixing.phases(mixing.target_units(totals, weights), blocks), blocks))
+    assert {s: [x for t, _, part in rows if t == s for x in part] for s in totals} == got
