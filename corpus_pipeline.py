@@ -30,16 +30,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files ordered by the Pfair schedule of their sources (weights: square roots of the sources'
-    sizes)."""
+    """All documents, with mix_slot and mix_place: their order by the Pfair schedule of their sources (weights: square
+    roots of the sources' sizes)."""
     ship(spark)
-    return mixing.in_order(docs)
+    return mixing.in_order(docs, places=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in sequences of 4096: one row per piece, with its sequence and offset."""
+    """The documents' token ids in sequences of 4096: one row per piece, with its sequence and offset. Sequences are
+    numbered by the schedule of the stage before."""
     ship(spark)
-    return packing.pack_documents(docs, TOKENIZER, capacity=4096, end_id=1)
+    return packing.pack_documents(docs, TOKENIZER, capacity=4096, end_id=1, order=["mix_slot", "mix_place"])
 
 
 STAGES = [

@@ -37,3 +37,30 @@ def test_the_library_does_without_this_subpackage():
 
     code = "import sys; sys.modules['trellis.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert e.llm is None and e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_sequences_follow_the_mixing_schedule(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW", 256)
+    words = "one two three four five six seven eight nine ten ".split()
+    rows = [(i, " ".join(words[(i + j) % 10] for j in range(200 + i * 37 % 900)), "a" if i < 2200 else "b" if i < 2900 else "c") for i in range(3000)]
+    docs = docs_of(rows)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").cache()
+    slot = {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in mixed.select("doc_id", "mix_slot", "mix_place").collect()}
+    got = corpus_pipeline.pack_sequences(spark, mixed.repartition(7), "").collect()
+    assert sorted({r["doc_id"] for r in got}) == list(range(3000))
+    n = check_packing(got, 4096)
+    assert n <= 1.01 * packing.lower_bound([r["length"] for r in got], 4096) + 1
+    order = sorted(got, key=lambda r: (*slot[r["doc_id"]], r["piece"]))
+    dealt = sorted(got, key=lambda r: r["sequence_id"])
+    window = 2 * 256 * max(r["length"] for r in got)  # windows are cut by a sample
+    source = {i: s for i, _, s in rows}
+    at, given, want, total = 0, {}, {}, 0
+    for r in dealt:  # any prefix holds what the same prefix of the schedule does, to a window
+        s = source[r["doc_id"]]
+        given[s], total = given.get(s, 0) + r["length"], total + r["length"]
+        while at < len(order) and sum(want.values()) < total:
+            s = source[order[at]["doc_id"]]
+            want[s], at = want.get(s, 0) + order[at]["length"], at + 1
+        assert all(abs(given.get(s, 0) - want.get(s, 0)) < window for s in "abc")
+    ranks = {r["doc_id"]: i for i, r in enumerate(order)}
+    assert sum(abs(ranks[r["doc_id"]] - i) for i, r in enumerate(dealt)) / len(got) < 256
