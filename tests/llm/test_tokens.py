@@ -7,20 +7,20 @@ import pytest
 from tokenizers import Tokenizer
 
 from trellis.llm import packing, tokens
-from trellis.llm.queries import TOKENIZER, op2_best_fit_packing, op5_token_id_files
+from trellis.llm.queries import op2_best_fit_packing, op5_token_id_files, tokenizer
 
 ALPHABET = "aAbéÉßñÑİıΣσς  \t\n\x1c\x85\xa0 .,!'\"s't're123²¼_-*$|<>中文й́éǅŉ😀ﬁ٣"
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(TOKENIZER)
+    t = Tokenizer.from_file(tokenizer())
     t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_the_encoder_gives_the_librarys_ids(library):
-    rng, enc = random.Random(5), tokens.Encoder(TOKENIZER, keep=500)
+    rng, enc = random.Random(5), tokens.Encoder(tokenizer(), keep=500)
     assert enc.by_words
     for i in range(6000):
         s = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 25)))
@@ -45,7 +45,7 @@ ROWS = [(5, "Hello there, world"), (3, None), (1, ""), (9, "word " * 6000), (7,
 
 
 def test_token_files_round_trip(docs_of, spark, library):
-    out, manifest = tokens.write_token_files(docs_of(ROWS), TOKENIZER, seq_len=64, batch_rows=4)
+    out, manifest = tokens.write_token_files(docs_of(ROWS), tokenizer(), seq_len=64, batch_rows=4)
     got = tokens.read_token_files(spark, out, manifest).collect()
     want = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, expected = 0, []
@@ -60,7 +60,7 @@ def test_token_files_round_trip(docs_of, spark, library):
 
 
 def test_token_files_of_an_empty_table(docs_of, spark):
-    out, manifest = tokens.write_token_files(docs_of([]), TOKENIZER)
+    out, manifest = tokens.write_token_files(docs_of([]), tokenizer())
     assert manifest == [] and tokens.read_token_files(spark, out, manifest).count() == 0
 
 
@@ -79,7 +79,7 @@ def check_packing(rows, capacity):
 
 def test_packing_documents(docs_of, library):
     docs = docs_of([*ROWS, *[(100 + i, "x " * (i % 90)) for i in range(300)]])
-    got = packing.pack_documents(docs, TOKENIZER, capacity=128, end_id=1).collect()
+    got = packing.pack_documents(docs, tokenizer(), capacity=128, end_id=1).collect()
     n = check_packing(got, 128)
     pieces = {}
     for r in got:

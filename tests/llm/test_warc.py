@@ -82,6 +82,44 @@ def test_the_audit_finds_what_differs(spark, monkeypatch):
     assert got == want
 
 
+def test_tails_and_losses_in_both_replicas(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_ROWS", 60)
+    a, index = warc.write_warc(pages(spark, PAGES))
+    b = warc.replicate(index, a)
+    names = sorted({r["file"] for r in index.collect()})
+    path = lambda folder, n: filesystem(f"{folder}/{n:08d}.warc.gz")[1]
+    assert all(open(path(a, n), "rb").read() == open(path(b, n), "rb").read() for n in names)
+    damage(path(a, names[0]), lambda d: d.extend(b"AAAA"))
+    damage(path(b, names[0]), lambda d: d.extend(b"BBBBBBB"))
+    for folder in (a, b):
+        damage(path(folder, names[1]), lambda d: d.__setitem__(30, d[30] ^ 1))
+    written, left, right = (Table(warc.fixity_tree(index, x), "t").df for x in (None, a, b))
+    found = lambda x, y: {(r["file"], r["node"]) for r in warc.audit(x, y).collect()}
+    assert found(left, right) == {(names[0], -1)}
+    assert found(written, left) == found(written, right) == {(names[0], -1), (names[1], 0)}
+
+
+def test_rows_that_come_often_are_spread_over_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_ROWS", 50)
+    rows = [(None, None, "same")] * 900 + [(7, f"u{i}", "x") for i in range(300)]
+    _, index = warc.write_warc(pages(spark, rows))
+    sizes = [r["count"] for r in index.groupBy("file").count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) >= 20 and max(sizes) < 150
+    got = warc.audit_pages(pages(spark, rows), damage="page_id = 7").collect()
+    assert len(got) == 1200 and sum(r["damaged"] for r in got) == 300 and not any(r["lost"] for r in got)
+    assert all(r["damaged"] == (r["page_id"] == 7) for r in got)
+
+
+def test_sql_of_odd_rows(spark):
+    import duckdb
+
+    df = pages(spark, PAGES[:20] + ODD)
+    with duckdb.connect() as con:
+        con.register("pages", df.toPandas()[["page_id", "url", "html"]].astype({"page_id": "Int64"}))
+        want = con.execute(queries.OP9_SQL).fetchall()
+    assert sorted(map(key, warc.audit_pages(df, damage="page_id % 97 = 13").collect())) == sorted(map(key, want))
+
+
 def test_empty_tables(spark):
     assert warc.audit_pages(pages(spark, [])).count() == 0
 
@@ -91,7 +129,7 @@ def test_records_of_pages(spark):
     want = []
     for p, u, h in PAGES[:20] + ODD:
         r = warc.record(p, u, h)
-        want.append((p, len(r), hashlib.sha256(r).hexdigest(), False))
+        want.append((p, len(r), hashlib.sha256(r).hexdigest(), False, False))
     assert [tuple(r) for r in got] == sorted(want, key=key)
 
 

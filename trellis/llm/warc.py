@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .shared import Table, filesystem, new_path, put_file
 
-#: Records in a file, on average; children of a node.
-FILE_ROWS, FANOUT = 2000, 16
-INDEX = "file long, record int, page_id long, offset long, length long"
+#: Records in a file, on average; children of a node; stored bytes that a task reads, unless one file has more.
+FILE_ROWS, FANOUT, TASK_BYTES = 2000, 16, 8 << 20
+INDEX = "file long, record int, page_id long, offset long, length long, digest string"
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -57,16 +57,28 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += n
 
 
+def _files(index: DataFrame) -> DataFrame:
+    """The index dealt to tasks by whole files, in order; as many tasks as the stored bytes deserve."""
+    size, files = index.agg(F.sum("length"), F.countDistinct("file")).first()
+    tasks = max(1, min(files, -(-(size or 0) // TASK_BYTES)))
+    return index.repartitionByRange(tasks, "file").sortWithinPartitions("file", "record")
+
+
 def write_warc(pages: DataFrame, out: str | None = None) -> tuple[str, DataFrame]:
-    """Write pages as WARC files of one gzip member a record; returns the folder and the index (INDEX) of all records.
+    """Write pages as WARC files of one gzip member a record; returns the folder and the index (INDEX) of all records, with
+    the hash of what was written.
 
-    Records are dealt to files by a hash of page_id, about FILE_ROWS each, and ordered by (page_id, url, html) in them, so
-    that the same table gives the same bytes wherever and however often a task runs. A file appears when complete. Null
-    page_ids share the files of their url's hash. Repeated rows are records of their own. Empty table: no file."""
+    Records are dealt to files by a hash of (page_id, url, html), about FILE_ROWS each, and ordered by these in them, so that
+    the same table gives the same bytes wherever and however often a task runs. A row that comes more than FILE_ROWS times
+    is spread over files by its place in the table. A file appears when complete. Null columns are values like others. Repeated
+    rows are records of their own. Empty table: no file."""
     spark = pages.sparkSession
     out = out or new_path(spark, "warc")
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    files = max(1, -(-plain.select(F.lit(1)).count() // FILE_ROWS))
+    content = F.xxhash64("page_id", "url", "html")
+    counts = plain.groupBy(content.alias("content")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_list(F.when(F.col("n") > FILE_ROWS, F.col("content"))).alias("often")).first()
+    files = max(1, -(-counts["n"] // FILE_ROWS))  # no more rows come so often than there are files
 
     def write(batches):
         import pyarrow as pa
@@ -80,19 +92,50 @@ def write_warc(pages: DataFrame, out: str | None = None) -> tuple[str, DataFrame
                 for _, page, url, html in group:
                     stored = gzip.compress(record(page, url, html), 3, mtime=0)
                     stream.write(stored)
-                    index.append((page, at, len(stored)))
+                    index.append((page, at, len(stored), hashlib.sha256(stored).hexdigest()))
                     at += len(stored)
 
             put_file(f"{out}/{number:08d}.warc.gz", save)
             n = len(index)
             cols = [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32())] + [pa.array([r[i] for r in index], pa.int64()) for i in range(3)]
-            yield pa.record_batch(cols, names=["file", "record", "page_id", "offset", "length"])
+            yield pa.record_batch([*cols, pa.array([r[3] for r in index])], names=["file", "record", "page_id", "offset", "length", "digest"])
 
-    number = F.pmod(F.xxhash64(F.coalesce("page_id", F.xxhash64("url"))), F.lit(files))
+    salt = F.monotonically_increasing_id()
+    number = F.pmod(F.when(content.isin(counts["often"]), F.xxhash64(content, salt)).otherwise(content), F.lit(files))
     dealt = plain.withColumn("file", number).repartitionByRange("file").sortWithinPartitions("file", "page_id", "url", "html")
     return out, Table(dealt.mapInArrow(write, INDEX), "warc-index").df
 
 
+def replicate(index: DataFrame, folder: str, out: str | None = None, damage: str | None = None) -> str:
+    """Copy the files of an index to another folder, byte by byte. For drills: of records for which ``damage``, a SQL condition
+    on the columns of the index, holds, the last stored byte but 9 is changed on the way. Returns the folder."""
+    out = out or new_path(index.sparkSession, "replica")
+    marked = index.withColumn("bad", F.coalesce(F.expr(damage), F.lit(False)) if damage else F.lit(False))
+
+    def copy(batches):
+        import pyarrow as pa
+
+        rows = (r for b in batches for r in b.select(["file", "offset", "length", "bad"]).to_pylist())
+        for number, group in itertools.groupby(rows, key=lambda r: r["file"]):
+            fs, path = filesystem(f"{folder}/{number:08d}.warc.gz")
+
+            def save(stream, group=group, fs=fs, path=path):
+                with fs.open_input_file(path) as source:
+                    for r in group:
+                        source.seek(r["offset"])
+                        data = source.read(r["length"])
+                        if r["bad"]:
+                            at = max(0, len(data) - 9)
+                            data = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
+                        stream.write(data)
+
+            put_file(f"{out}/{number:08d}.warc.gz", save)
+            yield pa.record_batch([pa.array([number], pa.int64())], names=["file"])
+
+    _files(marked).mapInArrow(copy, "file long").count()
+    return out
+
+
 def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
     """url, page_id (of our own record ids, else null) and html of the resource and response records of WARC files, plain
     or compressed; HTTP headers of responses go."""
@@ -123,55 +166,61 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
 NODES = "file long, level int, node int, start long, end long, digest string, page_id long, record_bytes long, record_sha256 string"
 
 
-def fixity_tree(index: DataFrame, folder: str) -> DataFrame:
-    """The Merkle trees of a replica's files, one row a node (NODES). Level 0: each record's stored bytes. Level l + 1: the
-    offset ranges and digests of FANOUT consecutive nodes of level l; the last level of a file is its root. What a replica
-    lacks has the digest 'missing'. Records also give the length and hash of their uncompressed content (null if damaged).
-    """
+def fixity_tree(index: DataFrame, folder: str | None = None) -> DataFrame:
+    """The Merkle trees of a replica's files, one row a node (NODES), or, without a folder, those of what the index says was
+    written. Level 0: each record's stored bytes. Level l + 1: the offset ranges and digests of FANOUT consecutive nodes of
+    level l; the last level of a file is its root, which also covers bytes behind the last record. What a replica lacks has the
+    digest 'missing'. Records also give the length and hash of their uncompressed content (null if damaged)."""
 
     def build(batches):
-        import numpy as np
         import pyarrow as pa
 
         rows = (r for b in batches for r in b.to_pylist())
         for number, group in itertools.groupby(rows, key=lambda r: r["file"]):
-            group = list(group)
-            fs, path = filesystem(f"{folder}/{number:08d}.warc.gz")
             out: list[tuple] = []
             level: list[tuple[int, int, str]] = []
-            try:
-                source = fs.open_input_file(path)
-            except FileNotFoundError:
-                source = None
+            source = None
+            if folder is not None:
+                fs, path = filesystem(f"{folder}/{number:08d}.warc.gz")
+                try:
+                    source = fs.open_input_file(path)
+                except FileNotFoundError:
+                    pass
             for r in group:
-                data = b""
+                size = digest = None
+                stored = r["digest"] if folder is None else "missing"
                 if source is not None and r["offset"] < source.size():
                     source.seek(r["offset"])
                     data = source.read(r["length"])
-                size = digest = None
-                try:
-                    content = gzip.decompress(data)
-                    size, digest = len(content), hashlib.sha256(content).hexdigest()
-                except (OSError, EOFError, zlib.error):
-                    pass
-                stored = hashlib.sha256(data).hexdigest() if data else "missing"
+                    stored = hashlib.sha256(data).hexdigest()
+                    try:
+                        content = gzip.decompress(data)
+                        size, digest = len(content), hashlib.sha256(content).hexdigest()
+                    except (OSError, EOFError, zlib.error):
+                        pass
                 level.append((r["offset"], r["offset"] + r["length"], stored))
-                out.append((number, 0, r["record"], *level[-1], r["page_id"], size if data else None, digest if data else None))
-            extra = source is not None and source.size() != group[-1]["offset"] + group[-1]["length"]
+                out.append((number, 0, r["record"], *level[-1], r["page_id"], size, digest))
+            tail = ""
             if source is not None:
+                if source.size() > level[-1][1]:
+                    source.seek(level[-1][1])
+                    h = hashlib.sha256()
+                    while data := source.read(1 << 20):
+                        h.update(data)
+                    tail = f"and {h.hexdigest()} "
                 source.close()
             depth = 0
             while len(level) > 1 or not depth:
                 depth += 1
                 level = [(part[0][0], part[-1][1], hashlib.sha256("".join(f"{a}-{b}:{d};" for a, b, d in part).encode()).hexdigest()) for part in (level[i : i + FANOUT] for i in range(0, len(level), FANOUT))]
-                if len(level) == 1 and extra:  # bytes beyond the last record
-                    level = [(level[0][0], level[0][1], "longer " + level[0][2])]
+                if len(level) == 1:
+                    level = [(*level[0][:2], tail + level[0][2])]
                 out += [(number, depth, i, *x, None, None, None) for i, x in enumerate(level)]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             names = [f.split()[0] for f in NODES.split(", ")]
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    return index.repartitionByRange("file").sortWithinPartitions("file", "record").mapInArrow(build, NODES)
+    return _files(index).mapInArrow(build, NODES)
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -204,12 +253,15 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     return found.union(rest.select("file", F.lit(-1).alias("node"), F.col("end").alias("start"), "end"))
 
 
-def audit_pages(pages: DataFrame) -> DataFrame:
-    """Write pages as two replicas, read both back into trees and audit them. One row a record: page_id, record_bytes and
-    record_sha256 (of its uncompressed content as read from the first replica), damaged (true if the second differs)."""
+def audit_pages(pages: DataFrame, damage: str | None = None) -> DataFrame:
+    """Write pages as WARC files, copy these to a second replica, read both back into trees and audit them. One row a record:
+    page_id, record_bytes and record_sha256 (of its uncompressed content as read from the first replica), damaged (the
+    second differs from the first) and lost (the first differs from what was written). A loss in both replicas alike is lost
+    and not damaged. ``damage``: see replicate()."""
     first, index = write_warc(pages)
-    second, _ = write_warc(pages)
-    trees = [Table(fixity_tree(index, folder), "tree").df for folder in (first, second)]
-    bad = audit(*trees).select("file", "node", F.lit(True).alias("damaged"))
-    records = trees[0].where("level = 0")
-    return records.join(bad, ["file", "node"], "left").select("page_id", "record_bytes", "record_sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    second = replicate(index, first, damage=damage)
+    written, one, two = (Table(fixity_tree(index, folder), "tree").df for folder in (None, first, second))
+    bad = audit(one, two).select("file", "node", F.lit(True).alias("damaged"))
+    lost = audit(written, one).select("file", "node", F.lit(True).alias("lost"))
+    records = one.where("level = 0").join(bad, ["file", "node"], "left").join(lost, ["file", "node"], "left")
+    return records.select("page_id", "record_bytes", "record_sha256", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("damaged", "lost")))
