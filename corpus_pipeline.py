@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm import dedup, mixing, packing, quality, toxicity
-from trellis.llm.queries import TOKENIZER, quality_model, toxicity_model
+from trellis.llm.queries import quality_model, tokenizer, toxicity_model
 from trellis.llm.shared import cut, ship
 
 
@@ -40,7 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents' token ids in sequences of 4096: one row per piece, with its sequence and offset. Sequences are
     numbered by the schedule of the stage before."""
     ship(spark)
-    return packing.pack_documents(docs, TOKENIZER, capacity=4096, end_id=1, order=["mix_slot", "mix_place"])
+    return packing.pack_documents(docs, tokenizer(), capacity=4096, end_id=1, order=["mix_slot", "mix_place"])
 
 
 STAGES = [
