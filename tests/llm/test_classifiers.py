@@ -1,10 +1,13 @@
+import bisect
+import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from trellis.llm import quality, toxicity
+from trellis.llm import labelled, quality, toxicity
 from trellis.llm.queries import op4_attention_quality, op10_boosted_toxicity
 from trellis.llm.trees import Boosted, Isotonic
 
@@ -57,6 +60,8 @@ def test_held_out_accuracy_and_edges(spark, docs_of, corpus, module, column):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if (s >= 0.5) == (column == "quality")}
     assert select(docs_of([]), model, 0.5).count() == 0
+    scores = module.score(docs_of(EDGES), model).collect()
+    assert select(docs_of(EDGES), model, 0.5).count() == sum((r["score"] >= 0.5) == (column == "quality") for r in scores)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
@@ -95,10 +100,130 @@ def test_trees_and_isotonic():
 def test_attention_gradients():
     rng = np.random.default_rng(2)
     x, first, y = rng.normal(size=(12, 6)), np.array([0, 1, 4, 9]), np.array([1.0, 0, 1, 0])
+    m = quality.Model(hidden=5, gate=3).fit(x, first, y, steps=3)
+    weight = np.array([0.3, 0.1, 0.2, 0.4])
+
+    def loss():
+        p = m._forward(x, first)[-1]
+        return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+
+    got = m._gradients(x, first, y, weight)
+    for name, values in m.p.items():
+        for at in np.ndindex(values.shape):
+            keep = values[at]
+            values[at] = keep + 1e-6
+            up = loss()
+            values[at] = keep - 1e-6
+            down = loss()
+            values[at] = keep
+            assert abs((up - down) / 2e-6 - got[name][at]) < 1e-6
     m = quality.Model(hidden=5, gate=3).fit(x, first, y, steps=300)
     got = m._forward(np.clip((x - m.mean) / m.scale, -8, 8), first)
-    assert np.abs(got[-1] - y).max() < 0.1
-    assert np.allclose(np.add.reduceat(got[4], first), 1)
+    assert np.abs(got[-1] - y).max() < 0.1 and np.allclose(np.add.reduceat(got[4], first), 1)
+
+
+def kinds_of(word):
+    return ["9" if c.isdigit() else "A" if c.isalpha() and c.isupper() else "a" if c.isalpha() else c for c in word]
+
+
+def quality_by_hand(model, text):
+    """The score of a text, passage by passage and word by word."""
+    words, h, e = (text or "").split(), [], []
+    for lo in range(0, max(1, len(words)), 128):
+        part = words[lo : lo + 128]
+        n = max(1, len(part))
+        f = [0.0] * 46
+        for w in part:
+            k = kinds_of(w)
+            run = "".join(c for c, _ in itertools.groupby(k))
+            letters, signs = sum(c in "aA" for c in k), sum(c not in "aA9" for c in k)
+            f[zlib.crc32(run.encode()) % 32] += 1 / n
+            for j, flag in enumerate((not letters, signs > 1, k.count("A") > 1, "9" in k, run[-1] in ".!?", letters > 0 and signs >= letters)):
+                f[32 + j] += flag / n
+        sizes = [len(w) for w in part]
+        mean = sum(sizes) / n
+        f[38], f[39] = mean / 10, math.sqrt(max(0, sum(x * x for x in sizes) / n - mean * mean)) / 5
+        f[40] = sum(a == b for a, b in zip(part, part[1:])) / n
+        f[41], f[42] = len(set(part)) / n, max((part.count(w) for w in set(part)), default=0) / n
+        f[43] = math.log1p(len(part)) / 5
+        f[44], f[45] = (text or "").count("\n") / max(1, len(words)), math.log1p(len(words)) / 10
+        f = [min(8, max(-8, (a - b) / c)) for a, b, c in zip(f, model.mean, model.scale)]
+        p = {k: v.tolist() for k, v in model.p.items()}
+        h.append([math.tanh(sum(x * r[j] for x, r in zip(f, p["W"])) + p["b"][j]) for j in range(len(p["b"]))])
+        dot = lambda m, j: sum(x * r[j] for x, r in zip(h[-1], m))
+        e.append(math.exp(sum(w * math.tanh(dot(p["V"], j)) / (1 + math.exp(-dot(p["U"], j))) for j, w in enumerate(p["w"]))))
+    z = [sum(a * r[j] for a, r in zip(e, h)) / sum(e) for j in range(len(h[0]))]
+    return 1 / (1 + math.exp(-sum(c * x for c, x in zip(p["c"], z)) - p["d"][0]))
+
+
+def toxicity_by_hand(model, text):
+    """The score of a text, word by word and tree by tree."""
+    x, words = [0.0] * 24, (text or "").split()
+    if words:
+        edges = toxicity._EDGES
+        marks = []
+        for w in words:
+            bare, core = w.lower().strip(edges), w.strip(edges)
+            begins = lambda v: any(f"^{v[:k]}" in model.lexicon for k in (4, 5) if len(v) >= k)
+            lex, stem = bare in model.lexicon, begins(bare)
+            mixed = len(core) > 2 and not core.isalpha() and any(map(str.isalpha, core))
+            long = any(len(list(g)) > 2 for _, g in itertools.groupby(core))
+            f = toxicity.folded(w)
+            hidden = not lex and (mixed or long or core != w) and f != bare and (f in model.lexicon or (not stem and begins(f)))
+            marks.append((lex, stem, hidden, bare in toxicity.SECOND_PERSON, len(core) > 1 and core.isupper(), mixed, w[-1] in "!?", long))
+        for k in range(8):
+            c = sum(m[k] for m in marks)
+            x[k], x[8 + k] = c / len(words), math.log1p(c)
+        hits, you = [i for i, m in enumerate(marks) if any(m[:3])], [i for i, m in enumerate(marks) if m[3]]
+        if hits and you:
+            gaps = [min(abs(i - j) for j in you) for i in hits]
+            x[16], x[17] = sum(g <= 5 for g in gaps) / len(gaps), 1 / (1 + min(gaps))
+        x[18], x[19] = len(hits) / len(words), math.log1p(len(hits))
+        x[20], x[21], x[22] = text.count("!") / len(text), text.count("?") / len(text), sum(c in "*#@$%&" for c in text) / len(text)
+        x[23] = math.log(len(words))
+    raw = model.trees.base
+    for feature, threshold, value in model.trees.trees:
+        at = 0
+        while at < 7 and feature[at] >= 0:
+            at = 2 * at + 1 + int(x[feature[at]] > threshold[at])
+        raw += value[at]
+    xs, ys = model.curve.x.tolist(), model.curve.y.tolist()
+    k = bisect.bisect_right(xs, raw)
+    if k in (0, len(xs)):
+        return ys[0 if not k else -1]
+    return ys[k - 1] + (ys[k] - ys[k - 1]) * (raw - xs[k - 1]) / (xs[k] - xs[k - 1])
+
+
+@pytest.mark.parametrize("module, by_hand", [(quality, quality_by_hand), (toxicity, toxicity_by_hand)])
+def test_scores_against_a_recomputation_by_hand(spark, docs_of, corpus, data, module, by_hand):
+    docs, labels, _ = corpus
+    model = module.fit(docs, labels)
+    real = [(100000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/sf0.001/documents.parquet").limit(60).collect() if len(r["text"]) < 20000]
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(40).collect()] + real + [(5000 + i, t) for i, (_, t) in enumerate(EDGES[:5] + EDGES[7:])]
+    rows.append((9000, "you WRETCHLING! dunder.head v1l3creep vilecreeeeep ¿du?\nx y\n" + "z" * 999))
+    got = {r["doc_id"]: r["score"] for r in module.score(docs_of(rows), model).collect()}
+    assert all(abs(got[i] - by_hand(model, t)) < 1e-9 for i, t in rows)
+
+
+def test_every_character_of_a_word_counts():
+    assert quality.shape("a" * 300 + "1!") != quality.shape("a" * 302) and quality.shape("ab" * 400) != quality.shape("ab" * 500)
+
+
+def test_the_lexicon_takes_all_that_qualify(spark):
+    rows = [(" ".join(f"{'abcdefghij'[i % 10]}{j}x" for j in range(300)), 1) for i in range(100)] + [("calm words", 0)] * 100
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"), 100, 100)
+    assert {w for w in got if w[0] != "^"} == {f"{c}{j}x" for c in "abcdefghij" for j in range(300)}
+
+
+def test_samples_are_bounded_and_the_same_each_time(spark, docs_of):
+    rows = [(i, " ".join(f"{w}{i // 2}" for w in "one two three four five six".split())) for i in range(200)] + [(7, "again and other"), (None, "no id")]
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(200)], "doc_id long, quality int")
+    take = lambda parts, **kw: sorted(map(tuple, labelled.sample(docs_of(rows).repartition(parts), labels, "quality", {1: 60, 0: 60}, **kw).df.collect()))
+    whole = take(1)
+    assert take(5) == take(3) == whole and 80 <= len(whole) <= 120
+    assert len({(t, y) for _, t, y in whole}) == len(whole)
+    few = take(4, chars=600)
+    assert 0 < len(few) < len(whole) and all(sum(len(t) for _, t, v in few if v == y) <= 600 for y in (0, 1))
 
 
 def test_passages_cover_whole_texts():

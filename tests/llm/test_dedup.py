@@ -12,7 +12,7 @@ from trellis.llm.shingles import set_hash, shingle_sets, signatures
 
 
 def run(docs):
-    return sorted(map(tuple, dedup.near_duplicates(docs).collect()), key=repr)
+    return sorted(map(tuple, dedup.near_duplicates(docs, percent=85).collect()), key=repr)
 
 
 def same(docs_of, rows):
@@ -65,7 +65,10 @@ def test_edge_cases(docs_of):
     assert dedup.near_duplicates(docs_of([])).count() == 0
     kept = dedup.drop_near_duplicates(docs_of(rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 9, 9, 9]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, ""), (2, "  \n"), (3, "A b\nc d e"), (4, None), (6, "one two three"), (7, "One  TWO"), (9, "x y"), (9, "other words"), (None, "alone here")], key=repr)
+    assert dedup.drop_near_duplicates(docs_of([])).count() == 0
+    nulls = dedup.drop_near_duplicates(docs_of([(None, "p q r s t")] * 5 + [(None, None)] * 2).withColumnRenamed("lang", "component_id"))
+    assert sorted(str(r["text"]) for r in nulls.collect()) == ["None", "None", "p q r s t"]
 
 
 def test_thresholds_and_chains(docs_of):

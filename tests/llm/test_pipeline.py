@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark, data):
     toxic = {r["doc_id"]: r["score"] for r in toxicity.score(kept, queries.toxicity_model(spark, kept, sf)).collect()}
     clean_ids = {i for i, s in toxic.items() if s < 0.5}
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == clean_ids
-    unique_ids = {d for d, _, _, k in near_duplicates([(i, rows[i]["text"]) for i in sorted(clean_ids)]) if k}
+    unique_ids = {d for d, _, _, k in near_duplicates([(i, rows[i]["text"]) for i in sorted(clean_ids)], 80) if k}
     final = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in final} == unique_ids
     assert check_packing(final, 4096) == packing.lower_bound([r["length"] for r in final], 4096)

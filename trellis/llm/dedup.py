@@ -292,7 +292,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "node long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, the row's own
     included), kept (doc_id = component_id). Two documents are linked if their sets of five-word shingles have
     100 * intersection >= percent * union.
@@ -357,7 +357,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents with one of each group of near-duplicates, that with the smallest doc_id; all columns stay. Of rows
-    that repeat a kept doc_id all stay."""
-    kept = Table(near_duplicates(docs, percent).where("kept").select("doc_id").distinct(), "kept", 1 + docs.count() // 500_000).df
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The documents with one row of each group of near-duplicates, that with the smallest doc_id (null ids last, ties to any);
+    all columns stay. Rows count one by one: of rows that repeat a doc_id and a text one stays, and a null doc_id is no
+    reason to go. Rows without words are in no group and all stay. Empty table: empty result."""
+    own = "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "row"  # longer than any name of docs
+    rows = Table(docs.withColumn(own, F.monotonically_increasing_id()), "rows").df
+    found = Table(near_duplicates(rows.select(F.col(own).alias("doc_id"), F.col("text")), percent).select(F.col("doc_id").alias(own), "component_id"), "found").df
+    groups = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    groups = Table(groups, "groups", _files(n := rows.count())).df
+    named = rows.select(own, F.col("doc_id").cast("long").alias("id"))
+    members = Table(found.join(_small(groups, groups.count()), "component_id").join(named, own), "members", _files(n)).df
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", own)).alias("first")).select(F.col(f"first.{own}").alias(own))
+    gone = Table(members.join(_small(first, groups.count()), own, "left_anti").select(own), "gone", _files(n)).df
+    return rows.join(_small(gone, gone.count()), own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

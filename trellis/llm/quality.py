@@ -16,15 +16,16 @@ WIDTH = SHAPES + 14
 
 
 def shape(word: str) -> int:
-    """Bits of a word: its shape's bucket, and flags. The shape has a letter for each kind of character, runs once."""
+    """Bits of a word: its shape's bucket, flags and length, of all its characters. The shape has a letter for each kind of
+    character, runs once."""
     import zlib
 
-    kinds = ["9" if c.isdigit() else "a" if c.isalpha() and not c.isupper() else "A" if c.isalpha() else c for c in word[:256]]
+    kinds = ["9" if c.isdigit() else "a" if c.isalpha() and not c.isupper() else "A" if c.isalpha() else c for c in word]
     runs = "".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1])
     letters = sum(k in "aA" for k in kinds)
     signs = len(kinds) - letters - kinds.count("9")
     flags = (letters == 0) | (signs > 1) << 1 | (kinds.count("A") > 1) << 2 | ("9" in kinds) << 3 | (runs[-1:] in ".!?") << 4 | (letters > 0 and signs >= letters) << 5
-    return zlib.crc32(runs.encode()) % SHAPES | flags << 8 | min(len(word), 63) << 16
+    return zlib.crc32(runs.encode()) % SHAPES | flags << 8 | len(word) << 16
 
 
 class Passages:
@@ -109,6 +110,25 @@ class Model:
         y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return count, h, t, s, a, z, y
 
+    def _gradients(self, x, first, target, weight) -> dict:
+        """Of the weighted cross-entropy, by parameter."""
+        import numpy as np
+
+        count, h, t, s, a, z, y = self._forward(x, first)
+        p, g = self.p, {}
+        dy = (y - target) * weight
+        g["c"], g["d"] = z.T @ dy, np.array([dy.sum()])
+        dz = np.repeat(dy[:, None] * p["c"], count, 0)
+        dh = a[:, None] * dz
+        da = (dz * h).sum(1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, first), count))
+        g["w"] = (t * s).T @ de
+        dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
+        g["V"], g["U"] = h.T @ dt, h.T @ ds
+        dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        g["W"], g["b"] = x.T @ dh, dh.sum(0)
+        return g
+
     def fit(self, x, first, target, steps: int = 400, rate: float = 0.02, decay: float = 1e-4):
         """Adam on the mean cross-entropy, both labels with equal weight; all passages of a document at once."""
         import numpy as np
@@ -121,19 +141,7 @@ class Model:
         m, v = ({n: np.zeros_like(q) for n, q in self.p.items()} for _ in (0, 1))
         weight = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
         for step in range(1, steps + 1):
-            count, h, t, s, a, z, y = self._forward(x, first)
-            p, g = self.p, {}
-            dy = (y - target) * weight
-            g["c"], g["d"] = z.T @ dy, np.array([dy.sum()])
-            dz = np.repeat(dy[:, None] * p["c"], count, 0)
-            dh = a[:, None] * dz
-            da = (dz * h).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, first), count))
-            g["w"] = (t * s).T @ de
-            dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
-            g["V"], g["U"] = h.T @ dt, h.T @ ds
-            dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            g["W"], g["b"] = x.T @ dh, dh.sum(0)
+            p, g = self.p, self._gradients(x, first, target, weight)
             for n in p:
                 grad = g[n] + decay * p[n]
                 m[n], v[n] = 0.9 * m[n] + 0.1 * grad, 0.999 * v[n] + 0.001 * grad * grad
@@ -150,8 +158,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fit on at most FIT_EACH of the given label rows of each label. With labels of one kind only (or none) the model
-    gives a constant."""
+    """Fit on at most FIT_EACH of the given label rows of each label, and on at most FIT_CHARS characters of each (sample()):
+    so many passages, at most, reach the driver. With labels of one kind only (or none) the model gives a constant."""
     import numpy as np
 
     rows = sample(docs, labels, label, {1: FIT_EACH, 0: FIT_EACH})
@@ -194,7 +202,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least the threshold."""
+    """The rows of docs, with all their columns, whose text scores at least the threshold; one that scores just that stays. A null
+    text scores as an empty one, a null doc_id changes nothing, repeated rows stay or go together."""
     from .toxicity import select_rows
 
     return select_rows(docs, Passages, model, lambda s: s >= threshold)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (one machine, tests) a
-    temporary folder of our own takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder takes its place
+    on one machine (a local master, as in tests); a cluster is refused, since its machines share no such folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIR:
             _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="trellis-")
@@ -132,11 +135,13 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    to = os.path.join(tempfile.mkdtemp(prefix="trellis-"), "trellis.zip")
+    folder = tempfile.mkdtemp(prefix="trellis-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = os.path.join(folder, "trellis.zip")
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
+        for inner, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(inner, name)
                     z.write(path, os.path.join(os.path.basename(top), os.path.relpath(path, top)))
     spark.sparkContext.addPyFile(to)

@@ -13,8 +13,6 @@ from .shared import slices
 
 #: Labelled documents that the model is fitted on at most: toxic, clean.
 FIT_TOXIC, FIT_CLEAN = 2500, 7500
-#: Entries of the learned lexicon at most.
-LEXICON = 2048
 #: Lengths of the word beginnings that the lexicon may hold.
 STEMS = (4, 5)
 # Second-person words (English, German, French, Spanish) and characters that stand for letters.
@@ -89,7 +87,7 @@ class Features:
 
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> frozenset[str]:
     """The words and word beginnings (^...) that mark label 1: in at least 0.4 % (and four) of its documents, twenty times
-    as frequent there as in the others; at most LEXICON, most frequent first. rows: (text, label)."""
+    as frequent there as in the others. rows: (text, label), a sample of bounded size, which bounds the lexicon."""
 
     def count(batches):
         import pyarrow as pa
@@ -107,7 +105,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> frozenset[str]
     counted = rows.mapInArrow(count, "word string, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("clean"))
     least = max(4, n_toxic * 4 // 1000)
     odds = (F.col("toxic") + 0.5) / max(1, n_toxic) >= 20 * (F.col("clean") + 0.5) / max(1, n_clean)
-    kept = counted.where((F.col("toxic") >= least) & odds).orderBy(F.col("toxic").desc(), "word").limit(LEXICON)
+    kept = counted.where((F.col("toxic") >= least) & odds)
     return frozenset(r["word"] for r in kept.collect())
 
 
@@ -124,18 +122,23 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Fit on at most FIT_TOXIC + FIT_CLEAN of the given label rows: four fifths grow trees, one fifth the curve. With
-    labels of one kind only (or none) the model gives a constant."""
+    """Fit on at most FIT_TOXIC + FIT_CLEAN of the given label rows: four fifths, by a hash of doc_id, give the lexicon and
+    the trees, the other fifth, which neither has seen, the curve. With labels of one kind only (or none) the model gives a
+    constant; with one kind only on either side, all rows serve both."""
     import numpy as np
 
     from .trees import Boosted, Isotonic
 
     rows = sample(docs, labels, label, {1: FIT_TOXIC, 0: FIT_CLEAN})
-    counts = dict(rows.df.groupBy("label").count().collect())
-    n1, n0 = counts.get(1, 0), counts.get(0, 0)
+    grows = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) > 0
+    marked = rows.df.withColumn("grows", grows)
+    counts = {(r["label"], r["grows"]): r["count"] for r in marked.groupBy("label", "grows").count().collect()}
+    n1, n0 = (counts.get((v, True), 0) + counts.get((v, False), 0) for v in (1, 0))
     if not n1 or not n0:
         return Model(frozenset(), constant=(n1 + 0.5) / (n1 + n0 + 1))
-    lexicon = learn_lexicon(rows.df, n1, n0)
+    if len(counts) < 4:
+        marked, counts = rows.df.withColumn("grows", F.lit(True)), {(1, True): n1, (0, True): n0}
+    lexicon = learn_lexicon(marked.where("grows"), counts[1, True], counts[0, True])
 
     def encode(batches):
         import pyarrow as pa
@@ -144,14 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 x = features(part.column("text").to_pylist())
-                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), part.column("grows"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "grows", "x"])
 
-    got = rows.df.mapInArrow(encode, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
+    got = marked.mapInArrow(encode, "doc_id long, label int, grows boolean, x array<double>").toPandas().sort_values(["doc_id", "label"])
     rows.drop()
     x, y = np.stack(got["x"].to_numpy()), got["label"].to_numpy().astype(float)
-    turn = np.random.default_rng(5).random(len(y)) < 0.8
-    if len(set(y[turn])) < 2 or len(set(y[~turn])) < 2:
-        turn = np.ones(len(y), bool)
+    turn = got["grows"].to_numpy(dtype=bool)
     trees = Boosted().fit(x[turn], y[turn])
     held = ~turn if not turn.all() else turn
     return Model(lexicon, trees, Isotonic().fit(trees.raw(x[held]), y[held]))
@@ -174,7 +175,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    """The rows of docs, with all their columns, whose text scores below the threshold; one that scores just that goes. A null
+    text scores as an empty one, a null doc_id changes nothing, repeated rows stay or go together."""
     return select_rows(docs, lambda: Features(model.lexicon), model, lambda s: s < threshold)
 
 
