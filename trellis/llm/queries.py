@@ -20,7 +20,8 @@ def tokenizer() -> str:
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.finite(table(spark, sf_dir, "embeddings"))
-    whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("embedding"))
+    # floor() gives a 64-bit integer; a double beyond 2**53 is whole already
+    whole = rows.select("vec_id", F.transform("v", lambda x: F.when(F.abs(x * 256) < 2.0**53, F.floor(x * 256).cast("double")).otherwise(x * 256)).alias("embedding"))
     return vectors.top_k_inner_product(whole, whole.where("vec_id % 50 = 0"), k=5)
 
 
