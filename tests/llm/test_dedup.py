@@ -159,3 +159,14 @@ def test_the_stage_takes_a_similarity_of_four_fifths(spark, docs_of):
     want = sorted(r[0] for r in near_duplicates(rows, 80) if r[3])
     assert want == list(range(0, 120, 2)) and len([r for r in near_duplicates(rows, 85) if r[3]]) == 80
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "").collect()) == want
+
+
+def test_words_that_collide_under_polynomial_hashes_do_not_here():
+    a, b = "a", "b"
+    for _ in range(12):  # Thue-Morse words: equal modulo 2**64 for any odd multiplier
+        a, b = a + b, b + a
+    rows = pa.array([a, b, "x" * 64, "x" * 65, "X" * 65, "x" * 8, "x" * 9])
+    for key in (0, 12345, 2**64 - 1):
+        got = [int(s[0]) for s in shingle_sets(rows, key)]
+        assert len(set(got)) == 6 and got[3] == got[4]
+    assert shingle_sets(rows, 1)[5][0] != shingle_sets(rows, 2)[5][0]

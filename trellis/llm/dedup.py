@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def bands(percent: int) -> tuple[int, int]:
     raise ValueError(f"{MOST_BANDS} bands can't find the pairs of a similarity of {percent} percent")
 
 
-def sketch(docs: DataFrame, n_bands: int) -> DataFrame:
+def sketch(docs: DataFrame, n_bands: int, key: int) -> DataFrame:
     """(doc_id, n_shingles, node, bands): node is a 64-bit hash of the whole shingle set, null without shingles."""
 
     def rows(batches):
@@ -46,7 +47,7 @@ def sketch(docs: DataFrame, n_bands: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"))
+                sets = shingle_sets(part.column("text"), key)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 node, words = np.zeros(len(sets), np.int64), np.zeros((len(sets), n_bands), np.int64)
                 if some:
@@ -275,7 +276,7 @@ def _remaining(classes: DataFrame, hot: DataFrame, sets: DataFrame, roots: DataF
     return _across(open_.df, few, _files(rows), percent, miss)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, key: int) -> DataFrame:
     def rows(batches):
         import numpy as np
         import pyarrow as pa
@@ -284,7 +285,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [s for s in shingle_sets(part.column("text")) if len(s)]
+                sets = [s for s in shingle_sets(part.column("text"), key) if len(s)]
                 if sets:
                     ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                     yield pa.record_batch([pa.array(set_hash(sets).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
@@ -292,7 +293,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "node long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-7) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-7, key: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, the row's own
     included), kept (doc_id = component_id). Two documents are linked if their sets of five-word shingles have
     100 * intersection >= percent * union.
@@ -303,12 +304,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-7) -> D
     bucket a spanning forest of survivors is confirmed first, then every survivor between components that are still
     apart: pairs within a component can't change the result.
 
+    Sets are compared as sets of 64-bit hashes, which are equal for two different shingles with a probability of 2**-64. The
+    hash has a key, drawn anew for each call unless given, so that nobody can write texts whose shingles collide.
+
     Texts that are null, empty or without words have no set: n_shingles 0, alone in their component. A null doc_id takes
     part with its text and is never kept; its component_id is null if all its component's ids are. Repeated rows with the
     same doc_id are copies of each other; both stay. Other columns are ignored."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_bands, key_places = bands(percent)
-    sketches = Table(sketch(plain, n_bands), "sketch")
+    key = secrets.randbits(64) if key is None else key
+    sketches = Table(sketch(plain, n_bands, key), "sketch")
     n_docs = sketches.df.count()
     grouped = sketches.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = Table(grouped, "classes", _files(n_docs, 20_000))
@@ -332,7 +337,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-7) -> D
     if not plain.where("doc_id is null").isEmpty():
         again = again.union(plain.where("doc_id is null").select("text"))
     # a set may come more than once (repeated ids), or from another text under the same id
-    once = _sets(again).groupBy("node").agg(F.first("shingles").alias("shingles")).join(_small(nodes.df, n), "node", "left_semi")
+    once = _sets(again, key).groupBy("node").agg(F.first("shingles").alias("shingles")).join(_small(nodes.df, n), "node", "left_semi")
     sets = Table(once, "sets", _files(n, 5_000))
     links = Table(_verified(pairs.df, sets.df, percent), "links", _files(n_pairs, 5_000))
     roots = Table(components(links.df), "roots", _files(n))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SHINGLE = 5
@@ -16,39 +18,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _tables():
-    byte = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    byte[ord("A") : ord("Z") + 1] = byte[ord("a") : ord("z") + 1]  # A-Z count as a-z
-    byte[list(_SPACES)] = 0
-    return byte
-
-
-_BYTE = _tables()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += ord("a") - ord("A")
 _WHITE = np.zeros(256, bool)
 _WHITE[list(_SPACES)] = True
-_STEP = _U(0xD6E8FEB86659FD93)
 _PLACE = mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
-    out, lo = np.empty(len(starts), _U), 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + chunk, "right")))
-        s, e = starts[lo:hi], ends[lo:hi]
-        seg = data[s[0] : e[-1]]
-        reach = np.diff(np.append(s, e[-1]))
-        place = np.arange(len(seg)) - np.repeat(s - s[0], reach)
-        powers = np.multiply.accumulate(np.full(int(reach.max()), _STEP, _U))
-        h = np.add.reduceat(_BYTE[seg] * powers[place], s - s[0])
-        out[lo:hi] = mix(h + (e - s).astype(_U))
-        lo = hi
+#: Words of more bytes are hashed one by one.
+LONG = 64
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Keyed hashes of words, eight bytes at a step, all words at once; of long words by a cryptographic hash."""
+    data = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    first, second = mix(np.array([key, key ^ 0x5851F42D4C957F2D], _U))
+    out = mix(first + size.astype(_U))
+    todo = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        todo = todo[size[todo] > at]
+        if not len(todo):
+            break
+        left = np.minimum(8, size[todo] - at)
+        step = eight[starts[todo] + at] & (~_U(0) >> (64 - 8 * left).astype(_U))
+        out[todo] = mix((out[todo] ^ step) * (second | _U(1)))
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=8, key=key.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
-def shingle_sets(texts) -> list[np.ndarray]:
+def shingle_sets(texts, key: int = 0) -> list[np.ndarray]:
     """For an Arrow string array: each text's distinct shingles as ascending 64-bit hashes. Words are maximal runs of other
     bytes than space and U+0009..U+000D, A-Z as a-z. A text of fewer than SHINGLE words is one shingle, one without words
-    (or null) has none. Two different shingles share a hash with a probability of about 2**-64."""
+    (or null) has none. Two different shingles share a hash with a probability of about 2**-64, whatever the texts, as long
+    as whoever wrote them didn't know the key (of 64 bits)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -67,7 +71,7 @@ def shingle_sets(texts) -> list[np.ndarray]:
     after[:-1] = ~black[1:]
     after[bounds[1:][bounds[1:] > 0] - 1] = True
     ends = np.flatnonzero(black & after) + 1
-    words = _word_hashes(data, starts, ends)
+    words = _word_hashes(data, starts, ends, key)
     first = np.searchsorted(starts, bounds)
     n = len(words)
     whole = np.zeros(max(0, n - SHINGLE + 1), _U)
