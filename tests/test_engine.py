@@ -399,3 +399,60 @@ def test_batches_over_folders(spark, tmp_path):
     assert cli.main(["search", str(tmp_path / "in"), str(tmp_path / "found"), "0.2"]) == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "found")).first()["mvds"] is not None
     assert cli.main(["verify", str(tmp_path / "in"), "0.2"]) == 0
+
+
+def test_cube_in_two_steps_counts_what_one_does(spark):
+    rng = random.Random(21)
+    for n in (2, 3, 5):
+        rows = [tuple(rng.choice([None, 0, 1, 2]) for _ in range(n)) for _ in range(60)]
+        r = sources.Relation.of(spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(n))))
+        assert sorted(map(repr, entropy.cube_counts(r).collect())) == sorted(map(repr, entropy.grouped_counts(r, range(2**n)).collect()))
+        r.release()
+        assert not r._kept
+
+
+def test_jdbc_source(spark):
+    url = "jdbc:derby:memory:trellis;create=true"
+    df = spark.createDataFrame([(1, "x", 2.5), (2, None, 2.5), (2, None, 2.5)], "k int, v string, w double")
+    df.write.jdbc(url, "cells", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    r = sources.read_jdbc(spark, url, 'SELECT "k", "v", "w" FROM cells WHERE "k" > 0', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert [c.lower() for c in r.names] == ["k", "v", "w"] and r.sizes == (3, 2)
+    assert sorted(map(tuple, r.df.collect())) == [(1, "x", 2.5), (2, None, 2.5), (2, None, 2.5)]
+
+
+def slow_relation(spark):
+    """A relation whose scan takes half a minute."""
+    import time
+
+    def sleep(batches):
+        for b in batches:
+            time.sleep(30)
+            yield b
+
+    return sources.Relation.of(spark.range(0, 8, 1, 8).mapInArrow(sleep, "id long").selectExpr("id a", "id % 2 b", "id % 3 c"))
+
+
+def test_timeouts_end_a_run_in_the_middle_of_a_job(spark):
+    import time
+
+    for run in (lambda r: not mining.mine(r, 0.1, timeout=2).complete_separators, lambda r: not mining.search_mvds(r, 0.1, timeout=2).complete, lambda r: list(mining.enumerate_schemas(r, [JD(1, (2, 4), 0.0)], timeout=2)) == []):
+        began = time.monotonic()
+        assert run(slow_relation(spark))
+        assert time.monotonic() - began < 20
+
+
+def test_a_result_after_a_cancel_changes_nothing(spark):
+    r = sources.Relation.of(spark.createDataFrame([(1, 2), (3, 4)], "a int, b int"))
+    jobs = decompose.DecompositionJobs(r)
+    job = decompose.Job((1, 2), "tag")
+    job.ended.set()
+    jobs.cancel(job)
+    assert not jobs._end(job, "FINISHED", lambda: job.future.set_result(None)) and job.status == "CANCELED"
+    jobs.stop()
+
+
+def test_adding_nested_dependencies():
+    inner, outer = JD(0b0001, (0b0010, 0b1100), 0.0), JD(0b0101, (0b0010, 0b1000), 0.0)
+    s = schema.AcyclicSchema(4, [inner])
+    assert schema.compatible(inner, outer, True) and not schema.compatible(inner, outer)
+    assert not s.add(outer) and s.add(outer, allow_nested=True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.relation import Relation
 from .combinatorics import connected_components
+from .entropy import interrupt
 
 _COUNT = "decimal(38,0)"
 
@@ -120,6 +121,7 @@ class Job:
     tag: str
     status: str = "PENDING"  # RUNNING, FINISHED, FAILED, CANCELED
     future: Future = field(default_factory=Future)
+    ended: threading.Event = field(default_factory=threading.Event)
 
 
 class DecompositionJobs:
@@ -150,33 +152,46 @@ class DecompositionJobs:
 
     def _run(self, job: Job) -> None:
         spark = self.relation.spark
-        if job.status == "CANCELED":
-            return
-        job.status = "RUNNING"
+        with self.lock:
+            if job.status == "CANCELED":
+                job.ended.set()
+                return
+            job.status = "RUNNING"
         spark.addTag(job.tag)
         try:
             result = evaluate(self.relation, job.clusters)
         except Exception as e:  # noqa: BLE001 - goes to whoever waits for the job
-            if job.status != "CANCELED":
-                job.status = "FAILED"
-                job.future.set_exception(e)
+            self._end(job, "FAILED", lambda: job.future.set_exception(e))
             return
         finally:
+            job.ended.set()
             spark.removeTag(job.tag)
-        if job.status != "CANCELED":
-            job.status = "FINISHED"
-            job.future.set_result(result)
+        self._end(job, "FINISHED", lambda: job.future.set_result(result))
+
+    def _end(self, job: Job, status: str, tell) -> bool:
+        """Tell whoever waits, unless someone was told before."""
+        with self.lock:
+            if job.future.done():
+                return False
+            job.status = status
+            tell()
+            return True
 
     def run(self, clusters: Iterable[int], timeout: float | None = None) -> Decomposition:
-        return self.submit(clusters).future.result(timeout)
+        """The result; one that takes longer than the timeout is cancelled, and TimeoutError raised."""
+        job = self.submit(clusters)
+        try:
+            return job.future.result(timeout)
+        except TimeoutError:
+            self.cancel(job)
+            raise
 
     def cancel(self, job: Job) -> None:
-        if not job.future.done():
-            job.status = "CANCELED"
-            self.relation.spark.interruptTag(job.tag)
-            job.future.set_exception(CancelledError())
+        if self._end(job, "CANCELED", lambda: job.future.set_exception(CancelledError())):
+            threading.Thread(target=interrupt, args=(self.relation.spark, job.tag, job.ended), daemon=True).start()
 
-    def stop(self) -> None:
+    def stop(self, wait: bool = True) -> None:
+        """Cancel what is open; with ``wait``, until no thread works any more."""
         for job in list(self.jobs.values()):
             self.cancel(job)
-        self.pool.shutdown(wait=True, cancel_futures=True)
+        self.pool.shutdown(wait=wait, cancel_futures=True)

@@ -73,9 +73,9 @@ class AcyclicSchema:
     def __post_init__(self):
         self.jds = sorted(self.jds, key=lambda d: (d.lhs.bit_count(), d.lhs, d.components))
 
-    def add(self, jd: JD) -> bool:
+    def add(self, jd: JD, allow_nested: bool = False) -> bool:
         """Add a JD that goes with all others."""
-        if all(compatible(jd, d) for d in self.jds):
+        if all(compatible(jd, d, allow_nested) for d in self.jds):
             self.jds.append(jd)
             self.__post_init__()
             return True

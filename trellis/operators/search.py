@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from . import lattice, measures
-from .entropy import EntropyOracle
+from .entropy import EntropyOracle, OutOfTime
 
 
 class Stopped(Exception):
@@ -18,6 +18,13 @@ class Stopped(Exception):
         self.found = found
 
 
+def _get(oracle: EntropyOracle, masks: set[int], found: list) -> None:
+    try:
+        oracle.get_many(masks)
+    except OutOfTime as e:
+        raise Stopped(found) from e
+
+
 def implied(deps: DataFrame, known: DataFrame) -> DataFrame:
     """deps (lhs, rhs) with the least measure of the known (lhs, rhs, measure) whose left side they include and whose
     right side they share: an upper bound of their own. Joined by right side."""
@@ -34,7 +41,7 @@ def minimal_fds(oracle: EntropyOracle, alpha: float, deadline=lambda: False) ->
     while level:
         if deadline():
             raise Stopped(found)
-        oracle.get_many({m for lhs, rhs in level for m in (lhs, lhs | rhs)})
+        _get(oracle, {m for lhs, rhs in level for m in (lhs, lhs | rhs)}, found)
         rest = []
         for lhs, rhs in level:
             m = measures.fd(oracle, lhs, rhs)
@@ -58,7 +65,7 @@ def minimal_mvds(oracle: EntropyOracle, alpha: float, deadline=lambda: False) ->
         level = [d for lhs in range(full) if lhs.bit_count() == size for d in lattice.bipartitions(lhs, n)]
         general = [(lhs, rhs) for lhs, rhs, _ in found]
         level = [d for d in level if not any(_generalizes(g, d, full) for g in general)]
-        oracle.get_many({m for lhs, rhs in level for m in (lhs, lhs | rhs, full & ~rhs, full)})
+        _get(oracle, {m for lhs, rhs in level for m in (lhs, lhs | rhs, full & ~rhs, full)}, found)
         for lhs, rhs in level:
             m = measures.mvd(oracle, lhs, rhs, full)
             if m <= alpha + measures.TOLERANCE:
@@ -80,7 +87,7 @@ def all_mvds(oracle: EntropyOracle, alpha: float, deadline=lambda: False) -> lis
     left sides of n - 2 attributes down, a split is measured only if moving any one attribute to the left leaves one that
     holds (a measure never grows that way)."""
     n, full = oracle.relation.n, oracle.full
-    oracle.get_many({full, *(full & ~(1 << i) for i in range(n))})
+    _get(oracle, {full, *(full & ~(1 << i) for i in range(n))}, [])
     saturated = [(full & ~(1 << i), 1 << i) for i in range(n)]
     found = [(lhs, rhs, m) for lhs, rhs in saturated if (m := measures.mvd(oracle, lhs, rhs, full)) <= alpha + measures.TOLERANCE]
     before: set[tuple[int, int]] | None = None
@@ -90,7 +97,7 @@ def all_mvds(oracle: EntropyOracle, alpha: float, deadline=lambda: False) -> lis
         level = [d for lhs in range(full) if lhs.bit_count() == size for d in lattice.bipartitions(lhs, n)]
         if before is not None:
             level = [d for d in level if _all_specializations(d, before, full)]
-        oracle.get_many({m for lhs, rhs in level for m in (lhs, lhs | rhs, full & ~rhs)})
+        _get(oracle, {m for lhs, rhs in level for m in (lhs, lhs | rhs, full & ~rhs)}, found)
         held = [(lhs, rhs, m) for lhs, rhs in level if (m := measures.mvd(oracle, lhs, rhs, full)) <= alpha + measures.TOLERANCE]
         if not held:
             break
@@ -110,8 +117,10 @@ def _all_specializations(d: tuple[int, int], before: set[tuple[int, int]], full:
 
 
 def brute_force(entropies: DataFrame, n: int, alpha: float, full_entropy_mask: int) -> DataFrame:
-    """(lhs, rhs, measure) of every split and saturated FD with measure <= alpha, as one plan over the entropy table."""
+    """(lhs, rhs, measure) of every split and saturated FD with measure <= alpha. The entropies of all sets (2**n rows, for
+    as many attributes as a cube may have) are computed once, before they are looked up four times a split."""
     spark = entropies.sparkSession
+    entropies = spark.createDataFrame(entropies.select("mask", "h").collect(), "mask bigint, h double")
     candidates = lattice.mvd_candidates(spark, n).unionByName(lattice.saturated_fds(spark, n))
     got = measures.mvd_measures(candidates, entropies, full_entropy_mask)
     return got.where(measures.holds(F.col("measure"), alpha))

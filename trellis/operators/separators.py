@@ -10,14 +10,15 @@ from collections.abc import Callable, Generator, Iterable
 
 from ..functions import bits
 from .combinatorics import Transversals
-from .entropy import EntropyOracle
+from .entropy import EntropyOracle, OutOfTime
 from .measures import JD, conditional, elemental, exceeds, jd
 
 Search = Generator[Iterable[int], None, object]
 
 
 def run(oracle: EntropyOracle, searches: dict, deadline: Callable[[], bool] = lambda: False) -> tuple[dict, bool]:
-    """({key: result}, complete) of searches driven in step; at the deadline those still open are dropped."""
+    """({key: result}, complete) of searches driven in step; at the deadline, or when the oracle runs out of time, those still
+    open are dropped."""
     results, live = {}, dict(searches)
     while live:
         if deadline():
@@ -33,7 +34,10 @@ def run(oracle: EntropyOracle, searches: dict, deadline: Callable[[], bool] = la
             except StopIteration as end:
                 results[key] = end.value
                 del live[key]
-        oracle.get_many(wanted)
+        try:
+            oracle.get_many(wanted)
+        except OutOfTime:
+            return results, False
     return results, True
 
 

@@ -27,11 +27,21 @@ DECOMPOSITIONS: dict[str, tuple[str, list[int]]] = {
 }
 
 
+#: Relations of the query that ran last; the next one gives back what they kept in memory.
+_LAST: list[Relation] = []
+
+
+def release() -> None:
+    while _LAST:
+        _LAST.pop().release()
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> Relation:
     columns, sql = RELATIONS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"(?:FROM|JOIN) (\w+)", sql)}
     marked = re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", sql)
-    return Relation.of(spark.sql(marked, **tables), columns, name)
+    _LAST.append(Relation.of(spark.sql(marked, **tables), columns, name))
+    return _LAST[-1]
 
 
 def arity(name: str) -> int:

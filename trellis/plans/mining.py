@@ -13,7 +13,7 @@ from ..functions import bits
 from ..operators import measures, search, separators
 from ..operators import schema as schemas
 from ..operators.decompose import Decomposition, DecompositionJobs
-from ..operators.entropy import CUBE_ATTRIBUTES, EntropyOracle
+from ..operators.entropy import CUBE_ATTRIBUTES, EntropyOracle, OutOfTime
 from ..operators.measures import JD
 from ..sources import sepfile
 from ..sources.relation import Relation, list_files, read_csv
@@ -25,13 +25,23 @@ def deadline(timeout: float | None):
     return lambda: end is not None and time.monotonic() > end
 
 
-def oracle_of(relation: Relation, range_size: int | None = None) -> EntropyOracle:
+def ending(timeout: float | None) -> float | None:
+    """When so many seconds will have passed."""
+    return None if timeout is None else time.monotonic() + timeout
+
+
+def oracle_of(relation: Relation, range_size: int | None = None, end: float | None = None) -> EntropyOracle:
     """An oracle, with the sets within runs of range_size neighbouring attributes known already; a small relation's
-    cube comes whole, as one job beats many."""
-    oracle = EntropyOracle(relation)
-    if range_size is None and relation.n <= 8:
-        return oracle.load_cube()
-    return oracle.load_ranges(min(range_size, CUBE_ATTRIBUTES)) if range_size else oracle
+    cube comes whole, as one job beats many. At ``end`` loading stops, and what is known then is all."""
+    oracle = EntropyOracle(relation, end=end)
+    try:
+        if range_size is None and relation.n <= 8:
+            oracle.load_cube()
+        elif range_size:
+            oracle.load_ranges(min(range_size, CUBE_ATTRIBUTES))
+    except OutOfTime:
+        pass
+    return oracle
 
 
 @dataclass
@@ -49,17 +59,17 @@ class Mined:
 
 
 def mine(relation: Relation, epsilon: float, timeout: float | None = None, range_size: int | None = None, with_full_mvds: bool = True, oracle: EntropyOracle | None = None) -> Mined:
-    """All minimal separators and, over each, all full MVDs. At the timeout what was found so far is returned, with the
-    flags that say whether it is everything."""
+    """All minimal separators and, over each, all full MVDs. At the timeout the running job is cancelled and what was found so
+    far is returned, with the flags that say whether it is everything."""
     began, late = time.monotonic(), deadline(timeout)
-    oracle = oracle or oracle_of(relation, range_size)
+    oracle = oracle or oracle_of(relation, range_size, ending(timeout))
     prepared = time.monotonic()
     found, complete = separators.minimal_separators(oracle, epsilon, late)
     mvds, complete_mvds = separators.full_mvds(oracle, separators.distinct_separators(found), epsilon, late) if with_full_mvds else ([], False)
     total = time.monotonic() - began
     m = oracle.metrics
     metrics = {
-        "attributes": relation.n, "rows": relation.rows, "threshold": epsilon, "range_size": range_size, "timeout": timeout,
+        "attributes": relation.n, "rows": relation.rows if complete else relation.__dict__.get("sizes", (None,))[0], "threshold": epsilon, "range_size": range_size, "timeout": timeout,
         "completed_separators": complete, "completed_full_mvds": complete and complete_mvds, "separators": len(separators.distinct_separators(found)), "full_mvds": len(mvds),
         "prepare_seconds": prepared - began, "queries": m.jobs, "query_seconds": m.seconds, "total_seconds": total, "percent_querying": 100 * m.seconds / total if total else 0.0,
         "cached_entropies": len(oracle.known), "tuples": m.tuples,
@@ -76,14 +86,14 @@ class Searched:
 
 def search_mvds(relation: Relation, alpha: float, timeout: float | None = None) -> Searched:
     """All MVDs with measure <= alpha, by the bottom-up search."""
-    began, oracle, complete = time.monotonic(), EntropyOracle(relation), True
+    began, oracle, complete = time.monotonic(), EntropyOracle(relation, end=ending(timeout)), True
     try:
         found = search.all_mvds(oracle, alpha, deadline(timeout))
     except search.Stopped as s:
         found, complete = s.found, False
     total = time.monotonic() - began
     m = oracle.metrics
-    return Searched(found, complete, {"attributes": relation.n, "rows": relation.rows, "threshold": alpha, "mvds": len(found), "scans": m.jobs, "scan_seconds": m.seconds, "total_seconds": total, "percent_scanning": 100 * m.seconds / total if total else 0.0})
+    return Searched(found, complete, {"attributes": relation.n, "rows": relation.rows if complete else relation.__dict__.get("sizes", (None,))[0], "threshold": alpha, "mvds": len(found), "scans": m.jobs, "scan_seconds": m.seconds, "total_seconds": total, "percent_scanning": 100 * m.seconds / total if total else 0.0})
 
 
 @dataclass
@@ -93,17 +103,23 @@ class Judged:
 
 
 def enumerate_schemas(relation: Relation, jds: Iterable[JD], timeout: float | None = None, jobs: DecompositionJobs | None = None) -> Iterator[Judged]:
-    """The acyclic schemas of the JDs, each with its decomposition, until the time is up."""
-    late, own = deadline(timeout), jobs is None
+    """The acyclic schemas of the JDs, each with its decomposition, until the time is up; one that is still being judged then
+    is cancelled."""
+    end, own = ending(timeout), jobs is None
     jobs = jobs or DecompositionJobs(relation)
     try:
         for s in schemas.acyclic_schemas(relation.n, list(jds)):
-            if late():
+            left = None if end is None else end - time.monotonic()
+            if left is not None and left <= 0:
+                return
+            try:
+                judged = Judged(s, jobs.run(s.clusters, left))
+            except TimeoutError:
                 return
-            yield Judged(s, jobs.run(s.clusters))
+            yield judged
     finally:
         if own:
-            jobs.stop()
+            jobs.stop(wait=end is None or time.monotonic() < end)
 
 
 # ---- sinks -----------------------------------------------------------------------------------------------------------

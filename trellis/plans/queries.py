@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +16,9 @@ from ..functions import bits
 from ..operators import combinatorics, decompose, entropy, inference, lattice, measures, schema, search
 from ..operators.measures import JD
 from ..sources import sepfile
+from ..sources.relation import read_csv
 from . import mining
-from .fixtures import DECOMPOSITIONS, RELATIONS, arity, relation
+from .fixtures import DECOMPOSITIONS, RELATIONS, arity, relation, release
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +27,12 @@ SQL: dict[str, str] = {}
 
 def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
@@ -161,11 +172,15 @@ def _(spark, sf):
 
 
 for _fx in ("cust_geo", "orders_dim", "part_dim"):
-    _union = " UNION ALL ".join(f"SELECT DISTINCT {i} AS attribute, a{i}::VARCHAR AS value, (dense_rank() OVER (ORDER BY a{i} NULLS FIRST))::BIGINT AS code FROM r" for i in range(arity(_fx)) if (_fx, i) != ("part_dim", 3))
+    # prices in a text that both sides write alike
+    _value = {i: f"a{i}::DECIMAL(18, 6)::VARCHAR" if (_fx, i) == ("part_dim", 3) else f"a{i}::VARCHAR" for i in range(arity(_fx))}
+    _union = " UNION ALL ".join(f"SELECT DISTINCT {i} AS attribute, {_value[i]} AS value, (dense_rank() OVER (ORDER BY a{i} NULLS FIRST))::BIGINT AS code FROM r" for i in range(arity(_fx)))
 
     @add(f"dictionary_encode_{_fx}", f"WITH {sql_relation(_fx)} {_union}")
     def _(spark, sf, fx=_fx):
-        return relation(spark, sf, fx).codes().where("attribute < 3" if fx == "part_dim" else "true")
+        codes = relation(spark, sf, fx).codes()
+        price = (F.col("attribute") == 3) & F.lit(fx == "part_dim")
+        return codes.withColumn("value", F.when(price, F.col("value").try_cast("decimal(18, 6)").cast("string")).otherwise(F.col("value")))
 
 
 _ENC = ", ".join(f"(dense_rank() OVER (ORDER BY a{i} NULLS FIRST))::BIGINT AS a{i}" for i in range(4))
@@ -455,15 +470,59 @@ SELECT string_agg(name, ';' ORDER BY id) AS jds, count(*)::BIGINT AS n_jds, roun
         return _rows(spark, rows, "schema_id int, clusters int, largest_cluster int, largest_separator int, tuples bigint, cells bigint, spurious bigint")
 
 
-_SCHEMAS = [(0, 3, 3, 1), (1, 3, 2, 2), (2, 2, 4, 1), (3, 1, 2, 0)]
-_SV = "s(schema_id, clusters, largest_cluster, largest_separator) AS (VALUES " + ", ".join(map(str, _SCHEMAS)) + ")"
+def _schemas(spark, sf, fx, eps) -> list[schema.AcyclicSchema]:
+    return list(schema.acyclic_schemas(arity(fx), _mined(spark, sf, fx, eps)))
+
+
+def _named(s: schema.AcyclicSchema) -> str:
+    return ";".join(f"{d.lhs}:{'|'.join(map(str, d.components))}" for d in sorted(s.jds))
+
+
+def sql_schemas(fx: str, eps: float) -> str:
+    """CTEs sch(t, jds): the acyclic schemas, as sets of numbered JDs; top(t, m): their clusters, which are the largest attribute
+    sets that no JD of the schema takes apart; g(m, n): the number of distinct tuples of each attribute set."""
+    n = arity(fx)
+    back = ", ".join(f"a{i}" for i in reversed(range(n)))
+    return f"""{sql_entropies(fx)}, {sql_full_mvds(fx, eps)}, {_NUMBERED}, k AS (SELECT count(*) AS k FROM numbered),
+conf AS MATERIALIZED (SELECT (1::BIGINT << a.id) | (1::BIGINT << b.id) AS e FROM numbered a JOIN numbered b ON a.id < b.id WHERE NOT {_COMPATIBLE}),
+ind AS MATERIALIZED (SELECT t.range AS t FROM k, range(0, (1::BIGINT << (SELECT k FROM k))::BIGINT) t WHERE NOT EXISTS (SELECT 1 FROM conf WHERE (e & t.range) = e)),
+mis AS MATERIALIZED (SELECT t FROM ind a WHERE NOT EXISTS (SELECT 1 FROM ind b WHERE b.t <> a.t AND (b.t & a.t) = a.t)),
+sch AS MATERIALIZED (SELECT t, string_agg(name, ';' ORDER BY id) AS jds, max(bit_count(lhs))::INT AS largest_separator FROM mis JOIN numbered ON ((t >> id) & 1) = 1 GROUP BY t),
+apart AS MATERIALIZED (SELECT id, m.range::BIGINT AS m FROM numbered, range(1, {2**n}) m WHERE len(list_filter(cs, lambda c: (c & m.range) <> 0)) > 1),
+whole AS MATERIALIZED (SELECT t, m.range::BIGINT AS m FROM sch, range(1, {2**n}) m WHERE NOT EXISTS (SELECT 1 FROM apart WHERE ((t >> id) & 1) = 1 AND apart.m = m.range)),
+top AS MATERIALIZED (SELECT t, m FROM whole a WHERE NOT EXISTS (SELECT 1 FROM whole b WHERE b.t = a.t AND b.m <> a.m AND (b.m & a.m) = a.m)),
+g AS MATERIALIZED (SELECT ({2**n - 1} - grouping({back}))::BIGINT AS m, count(*)::BIGINT AS n FROM (SELECT DISTINCT * FROM r) GROUP BY CUBE({back})),
+gs AS MATERIALIZED (SELECT m, count(*)::BIGINT AS n FROM g GROUP BY m),
+met AS MATERIALIZED (SELECT jds, count(*)::INT AS clusters, max(bit_count(m))::INT AS largest_cluster, max(largest_separator) AS largest_separator, min(n)::BIGINT AS smallest, max(n)::BIGINT AS largest, sum(n)::BIGINT AS tuples, sum(n * bit_count(m))::BIGINT AS cells FROM sch JOIN top USING (t) JOIN gs USING (m) GROUP BY t, jds)"""
+
+
+for _fx, _eps in (("supp_geo", 0.0), ("cust_geo", 0.0), ("orders_dim", 0.1)):
+    _id = f"{_fx}_eps{_tag(_eps)}"
+
+    @add(f"schema_clusters_{_id}", f"WITH {sql_schemas(_fx, _eps)} SELECT jds, m AS cluster FROM sch JOIN top USING (t)")
+    def _(spark, sf, fx=_fx, eps=_eps):
+        return _rows(spark, [(_named(s), c) for s in _schemas(spark, sf, fx, eps) for c in s.clusters], "jds string, cluster bigint")
+
+    @add(f"schema_separators_{_id}", f"WITH {sql_schemas(_fx, _eps)} SELECT DISTINCT jds, lhs AS separator FROM sch JOIN numbered ON ((t >> id) & 1) = 1")
+    def _(spark, sf, fx=_fx, eps=_eps):
+        return _rows(spark, [(_named(s), x) for s in _schemas(spark, sf, fx, eps) for x in s.separators], "jds string, separator bigint")
+
+    @add(f"schema_sizes_{_id}", f"WITH {sql_schemas(_fx, _eps)} SELECT * FROM met")
+    def _(spark, sf, fx=_fx, eps=_eps):
+        r = relation(spark, sf, fx)
+        rows = []
+        for j in mining.enumerate_schemas(r, mining.mine(r, eps).full_mvds):
+            s, d = j.schema, j.decomposition
+            rows.append((_named(s), len(s.clusters), s.largest_cluster, s.largest_separator, d.smallest, d.largest, d.tuples, d.cells))
+        return _rows(spark, rows, "jds string, clusters int, largest_cluster int, largest_separator int, smallest bigint, largest bigint, tuples bigint, cells bigint")
 
 
-@add("schema_best", f"""WITH {_SV} SELECT 'most clusters' AS criterion, schema_id FROM (SELECT *, rank() OVER (ORDER BY clusters DESC) k FROM s) WHERE k = 1
-UNION ALL SELECT 'smallest largest cluster', schema_id FROM (SELECT *, rank() OVER (ORDER BY largest_cluster) k FROM s) WHERE k = 1
-UNION ALL SELECT 'smallest largest separator', schema_id FROM (SELECT *, rank() OVER (ORDER BY largest_separator) k FROM s) WHERE k = 1""")
+@add("schema_best", f"""WITH {sql_schemas("orders_dim", 0.1)} SELECT 'most clusters' AS criterion, jds AS schema_id FROM (SELECT *, rank() OVER (ORDER BY clusters DESC) AS place FROM met) WHERE place = 1
+UNION ALL SELECT 'smallest largest cluster', jds FROM (SELECT *, rank() OVER (ORDER BY largest_cluster) AS place FROM met) WHERE place = 1
+UNION ALL SELECT 'smallest largest separator', jds FROM (SELECT *, rank() OVER (ORDER BY largest_separator) AS place FROM met) WHERE place = 1""")
 def _(spark, sf):
-    return schema.best(_rows(spark, _SCHEMAS, "schema_id int, clusters int, largest_cluster int, largest_separator int"))
+    rows = [(_named(s), len(s.clusters), s.largest_cluster, s.largest_separator) for s in _schemas(spark, sf, "orders_dim", 0.1)]
+    return schema.best(_rows(spark, rows, "schema_id string, clusters int, largest_cluster int, largest_separator int"))
 
 
 # ---- decompositions --------------------------------------------------------------------------------------------------
@@ -556,9 +615,83 @@ def _(spark, sf):
     return got.select("arity", "lhs", _text().alias("components"), "measure")
 
 
-@add("lhs_statistics", "SELECT 2::BIGINT AS jds, 0::BIGINT AS min_lhs, 2::BIGINT AS max_lhs, 1.0::DOUBLE AS avg_lhs")
+def _written(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that driver and executors share; on one machine, in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="trellis-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/trellis-queries/{label}-{uuid.uuid4().hex}"
+
+
+@add("lhs_statistics", f"WITH {sql_entropies('orders_dim')}, {sql_full_mvds('orders_dim', 0.1)} SELECT count(*)::BIGINT AS jds, min(bit_count(lhs))::BIGINT AS min_lhs, max(bit_count(lhs))::BIGINT AS max_lhs, round(avg(bit_count(lhs)), 6) + 0.0 AS avg_lhs FROM fm")
+def _(spark, sf):
+    return sepfile.lhs_statistics(mining.jd_rows(spark, _mined(spark, sf, "orders_dim", 0.1)))
+
+
+@add("sep_files_orders_dim", f"WITH {sql_entropies('orders_dim')}, {sql_full_mvds('orders_dim', 0.1)} SELECT 5 AS arity, lhs, {_TEXT.format('cs')} AS components, round(j, 6) + 0.0 AS measure FROM fm")
+def _(spark, sf):
+    """Mined dependencies written to a file and read back."""
+    path = _written(spark, "sep")
+    sepfile.write_sep(spark, path, arity("orders_dim"), _mined(spark, sf, "orders_dim", 0.1))
+    return sepfile.read_sep(spark, path).select("arity", "lhs", _text().alias("components"), measures.rounded(F.col("measure")).alias("measure"))
+
+
+def _as_csv(spark: SparkSession, sf: str, fx: str) -> str:
+    """The relation as comma-separated files with blanks around the cells; quoted, with a header."""
+    path, r = _written(spark, "csv"), relation(spark, sf, fx)
+    cells = [F.concat(F.lit("  "), F.col(f"a{i}").cast("string"), F.lit(" ")).alias(c) for i, c in enumerate(r.names)]
+    options = {"header": True, "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    r.df.select(*cells).write.options(**options).csv(path)
+    return path
+
+
+@add("csv_rows_cust_geo", f"WITH {sql_relation('cust_geo')} SELECT " + ", ".join(f"a{i}::VARCHAR AS a{i}" for i in range(5)) + " FROM r")
+def _(spark, sf):
+    return read_csv(spark, _as_csv(spark, sf, "cust_geo"), header=True).df
+
+
+@add("csv_entropies_orders_dim", f"WITH {sql_entropies('orders_dim')} SELECT m AS mask, round(h, 6) + 0.0 AS h FROM e")
+def _(spark, sf):
+    return entropy.cube(read_csv(spark, _as_csv(spark, sf, "orders_dim"), header=True)).select("mask", measures.rounded(F.col("h")).alias("h"))
+
+
+@add("mining_metrics_orders_dim", f"WITH {sql_entropies('orders_dim')}, {sql_full_mvds('orders_dim', 0.1)} SELECT 5 AS attributes, (SELECT count(*) FROM r)::BIGINT AS n_rows, TRUE AS complete, (SELECT count(DISTINCT s) FROM minsep)::BIGINT AS separators, (SELECT count(*) FROM fm)::BIGINT AS full_mvds")
+def _(spark, sf):
+    """The metrics of a run as they were written to and read from their CSV sink."""
+    path = _written(spark, "metrics")
+    mining.write_metrics(spark, [mining.mine(relation(spark, sf, "orders_dim"), 0.1).metrics], path)
+    got = spark.read.option("header", True).csv(path)
+    return got.select(F.col("attributes").cast("int"), F.col("rows").cast("bigint").alias("n_rows"), F.col("completed_full_mvds").cast("boolean").alias("complete"), F.col("separators").cast("bigint"), F.col("full_mvds").cast("bigint"))
+
+
+for _fx, _eps in (("cust_geo", 0.0), ("orders_dim", 0.1)):
+    _n = arity(_fx)
+
+    @add(f"verify_separators_{_fx}", f"WITH {sql_entropies(_fx)}, {sql_mvds(_fx)}, {sql_separators(_n, _eps)} SELECT count(*)::BIGINT AS separators, 0::BIGINT AS differences, 0::BIGINT AS failures FROM minsep")
+    def _(spark, sf, fx=_fx, eps=_eps):
+        """Mined separators held against those that all MVDs imply, and each one checked by itself."""
+        r = relation(spark, sf, fx)
+        found = mining.mine(r, eps, with_full_mvds=False).separators
+        return _rows(spark, [(sum(map(len, found.values())), len(mining.verify(r, eps)), len(mining.self_check(r, eps)))], "separators bigint, differences bigint, failures bigint")
+
+
+_JOBS = DECOMPOSITIONS["orders_lossy"][1]
+
+
+@add("decomposition_jobs_orders_dim", f"WITH {sql_relation('orders_dim')}, j AS (SELECT count(*) AS j FROM {sql_natural_join(_JOBS)}) SELECT * FROM (VALUES ('first'), ('asked again')) t(job), (SELECT j::BIGINT AS joined, TRUE AS same FROM j)")
 def _(spark, sf):
-    return sepfile.lhs_statistics(sepfile.parse_columns(_rows(spark, [(x,) for x in _SEPS], "value string")))
+    """A job and the same clusters asked for again, which gives the same job."""
+    jobs = decompose.DecompositionJobs(relation(spark, sf, "orders_dim"))
+    try:
+        one = jobs.submit(_JOBS)
+        two = jobs.submit(reversed(_JOBS))
+        rows = [(name, job.future.result().joined, one is two) for name, job in (("first", one), ("asked again", two))]
+    finally:
+        jobs.stop()
+    return _rows(spark, rows, "job string, joined bigint, same boolean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,4 +703,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(" ".join(bits.text(c) for c in d.clusters), d.smallest, d.largest, d.tuples, d.cells, d.joined, d.spurious)], "clusters string, smallest bigint, largest bigint, tuples bigint, cells bigint, joined bigint, spurious bigint")
 
 
-add("flagship_supp_geo")(flagship)
+add("flagship_supp_geo", f"""WITH {sql_schemas("supp_geo", 0.0)}, b AS MATERIALIZED (
+SELECT t, count(*) AS k, list_sort(list(m)) AS ms FROM top GROUP BY t QUALIFY row_number() OVER (ORDER BY count(*) DESC, max(bit_count(m)), list_sort(list(m)) DESC) = 1)
+SELECT string_agg('{{' || array_to_string(list_transform(list_filter(range(0, 5), lambda i: ((m >> i) & 1) = 1), lambda i: i::VARCHAR), ', ') || '}}', ' ' ORDER BY m) AS clusters,
+min(n)::BIGINT AS smallest, max(n)::BIGINT AS largest, sum(n)::BIGINT AS tuples, sum(n * bit_count(m))::BIGINT AS cells,
+(SELECT count(*) FROM (SELECT DISTINCT * FROM r))::BIGINT AS joined, 0::BIGINT AS spurious FROM b JOIN top USING (t) JOIN gs USING (m)""")(flagship)  # epsilon 0: the join is the relation

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: An attribute of at most so many values has its codes broadcast.
+MAX_BROADCAST_VALUES = 100_000
+
+
 @dataclass
 class Relation:
     """Attribute i is column a{i}; ``names`` are the columns' own names. NULL is a value like any other.
@@ -52,11 +56,14 @@ class Relation:
         self._kept.append(out)
         return out
 
+    def size_rows(self) -> DataFrame:
+        """One row of sizes."""
+        return self.weighted.agg(F.coalesce(F.sum("w"), F.lit(0)).cast("bigint"), F.count(F.lit(1)))
+
     @cached_property
     def sizes(self) -> tuple[int, int]:
         """(rows, distinct rows)"""
-        r = self.weighted.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count(F.lit(1))).first()
-        return int(r[0]), int(r[1])
+        return tuple(self.size_rows().first())
 
     @property
     def rows(self) -> int:
@@ -93,18 +100,22 @@ class Relation:
         return out
 
     def encoded(self) -> DataFrame:
-        """The relation with codes for values, in the order of codes()."""
+        """The relation with codes for values, in the order of codes(). An attribute of few values, which are often hot, takes its
+        codes from a broadcast; one of many is joined by shuffle, where Spark splits what is skewed."""
         out = self.df
         for i in range(self.n):
             one = self.codes_of(i).select(F.col("v").alias(f"v{i}"), F.col("code").alias(f"c{i}"))
+            if one.count() <= MAX_BROADCAST_VALUES:
+                one = F.broadcast(one)
             out = out.join(one, F.col(f"a{i}").eqNullSafe(F.col(f"v{i}"))).drop(f"a{i}", f"v{i}").withColumnRenamed(f"c{i}", f"a{i}")
         return out.select(*(f"a{i}" for i in range(self.n)))
 
     def codes_of(self, i: int) -> DataFrame:
         one = Relation(self.df.select(F.col(f"a{i}").alias("a0")), [self.names[i]])
-        self._kept.append(one.df)
         kind = self.df.schema[f"a{i}"].dataType
-        return one.codes().select(F.col("value").cast(kind).alias("v"), "code")
+        codes = one.codes().select(F.col("value").cast(kind).alias("v"), "code")
+        self._kept += one._kept
+        return codes
 
     def release(self) -> None:
         """Give back what was kept in memory."""
