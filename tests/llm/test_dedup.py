@@ -98,8 +98,9 @@ def test_hot_groups(docs_of, monkeypatch):
     same(docs_of, rows)
 
 
-def test_buckets_of_many_blocks(docs_of, monkeypatch):
-    for name, value in (("BLOCK", 40), ("SHARED", 4), ("HOT", 8)):
+@pytest.mark.parametrize("wide", [0, 4])
+def test_buckets_of_many_blocks(docs_of, monkeypatch, wide):
+    for name, value in (("BLOCK", 40), ("SHARED", 4), ("HOT", 8), ("WIDE", wide)):
         monkeypatch.setattr(dedup, name, value)
     rng = random.Random(10)
     base = words(rng, 150)
@@ -112,6 +113,30 @@ def test_buckets_of_many_blocks(docs_of, monkeypatch):
     same(docs_of, rows)
 
 
+def test_texts_of_one_template_are_dealt_in_proportion(docs_of, monkeypatch):
+    """Alike, but most of them not similar enough, with shingles that are not their own."""
+    monkeypatch.setattr(dedup, "BLOCK", 32)
+    dealt = []
+    compared = dedup._compared
+    monkeypatch.setattr(dedup, "_compared", lambda rows, *rest: dealt.append((rest[-1], rows.count())) or compared(rows, *rest))
+    rng = random.Random(12)
+    base, totals = words(rng, 220), []
+    for n in (800, 1600):
+        # a passage comes in about six texts, whatever n
+        passages = [words(rng, 10) for _ in range(n // 2)]
+        rows = []
+        for i in range(n):
+            body = base[:60] + sum(rng.sample(passages, 3), []) + base[60:]
+            rows.append((2 * i, " ".join(body)))
+            if i % 20 == 0:
+                rows.append((2 * i + 1, " ".join(edited(rng, body, 1))))
+        dealt.clear()
+        same(docs_of, rows)
+        totals.append(sum(k for _, k in dealt))
+        assert any(not banded for banded, _ in dealt)
+    assert totals[1] < 2.4 * totals[0]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -21,6 +21,9 @@ BLOCK = 512
 SHARED = 16
 #: In groups of more members, only a spanning forest of the most similar pairs is verified at first.
 HOT = 32
+#: Of a bucket with more blocks of members than this outside its largest component, the members are grouped anew, by rare
+#: shingles.
+WIDE = 4
 #: So many rows of one or two longs may be broadcast, by count; more are joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -97,11 +100,11 @@ def _forest(x, y, hits):
     return x[keep], y[keep]
 
 
-def _compare(percent: int, miss: float, forest: bool):
+def _compare(percent: int, miss: float, forest: bool, banded: bool = True):
     """Rows (bucket, i, j, block, node, root, n, alone, bands), in order of (bucket, i, j): the pairs of each group,
     of different roots, that share this band and none before it, and that neither the sizes of the sets (without the
     ``alone`` shingles that no other set has) nor the posterior rule out. With ``forest``, groups of more than HOT rows
-    give a spanning forest of these pairs."""
+    give a spanning forest of these pairs. Without ``banded``, groups aren't bands' buckets: pairs need share no band."""
     hot = HOT
     n_bands, key_places = bands(percent)
     key_mask = -1 << 8 * (ROWS - key_places)
@@ -121,10 +124,11 @@ def _compare(percent: int, miss: float, forest: bool):
             out = [(x[:0], y[:0], x[:0])]
             for at in range(0, len(x), 1 << 16):
                 a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                same = (bands[a] ^ bands[b]) & np.int64(key_mask) == 0
-                first = np.where(same.any(1), same.argmax(1), n_bands)
-                ok = first == band[a]
-                a, b = a[ok], b[ok]
+                if banded:
+                    same = (bands[a] ^ bands[b]) & np.int64(key_mask) == 0
+                    first = np.where(same.any(1), same.argmax(1), n_bands)
+                    ok = first == band[a]
+                    a, b = a[ok], b[ok]
                 hits, seen = np.zeros(len(a), np.int64), 0
                 for upto, need in zip(places, least, strict=True):
                     u, v = bands[a, seen // ROWS : upto // ROWS], bands[b, seen // ROWS : upto // ROWS]
@@ -217,9 +221,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 _KEPT = ("bucket", "node", "root", "n", "alone", "bands")
 
 
-def _compared(dealt: DataFrame, percent: int, miss: float, forest: bool) -> DataFrame:
+def _compared(dealt: DataFrame, percent: int, miss: float, forest: bool, banded: bool = True) -> DataFrame:
     grouped = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return grouped.mapInArrow(_compare(percent, miss, forest), "a long, b long")
+    return grouped.mapInArrow(_compare(percent, miss, forest, banded), "a long, b long")
 
 
 def candidates(members: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -234,18 +238,46 @@ def candidates(members: DataFrame, classes: DataFrame, percent: int, miss: float
     return _compared(dealt.select(*_KEPT, "i", F.col("i").alias("j"), F.lit(0).cast("long").alias("block")), percent, miss, True)
 
 
-def _across(open_: DataFrame, classes: DataFrame, files: int, percent: int, miss: float) -> DataFrame:
-    """Pairs between the components of a bucket: every member outside the bucket's largest component against all members,
-    block by block. open_: (bucket, node, root, alone)."""
-    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
-    largest = Table(largest.select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("outer")), "largest", files).df
-    rows = open_.join(largest, "bucket").join(classes, "node")
-    mine, outside = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("outer"))
+def _shapes(open_: DataFrame) -> DataFrame:
+    """(bucket, top, by_short, blocks, outer): the root of each bucket's largest component, which members are compared with
+    all (the ``short`` ones or, if these are fewer, those outside that component), the blocks of all members and of these.
+    open_: (bucket, node, root, alone, short)."""
+    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if("short").alias("s"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.sum("s").alias("short"))
+    outside = F.col("all") - F.col("top.c")
+    few = F.least("short", outside)
+    shapes = largest.select("bucket", F.col("top.root").alias("top"), (F.col("short") < outside).alias("by_short"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil(few / BLOCK).alias("outer"))
+    return shapes.where("outer > 0")
+
+
+def _across(open_: DataFrame, shapes: DataFrame, classes: DataFrame, percent: int, miss: float, banded: bool) -> DataFrame:
+    """Pairs between the components of a bucket: the few members that _shapes() says against all members, block by block.
+    Only pairs with a ``short`` member are wanted. open_: (bucket, node, root, alone, short)."""
+    rows = open_.join(shapes, "bucket").join(classes, "node")
+    mine, own = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("outer"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     every = rows.select(*_KEPT, F.explode(F.sequence(one, F.col("outer"))).alias("i"), (-1 - mine).alias("j"), zero.alias("block"))
-    few = rows.where("root <> top").select(*_KEPT, (outside + 1).alias("i"), F.explode(F.sequence(-F.col("blocks"), -one)).alias("j"), one.alias("block"))
-    return _compared(every.union(few), percent, miss, False).distinct()
+    few = rows.where("if(by_short, short, root <> top)").select(*_KEPT, (own + 1).alias("i"), F.explode(F.sequence(-F.col("blocks"), -one)).alias("j"), one.alias("block"))
+    return _compared(every.union(few), percent, miss, False, banded)
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, root, alone, short): the nodes (node, root, alone) grouped by each of their rarest shingles. Take t =
+    percent / 100 and all shingles in one order, here from the rarest. Of two sets of x <= y shingles with a similarity of t at
+    least, at least t * y and 2 * t / (1 + t) * x are common, so one of the first x - ceil(2 * t / (1 + t) * x) + 1 of the
+    smaller set (``short`` rows) is among the first y - ceil(t * y) + 1 of the larger. No such pair is lost."""
+    each = nodes.join(sets, "node").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    counted = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "s"))
+    ranked = each.join(counted, "s").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    short = F.col("place") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    return ranked.where("c > 1").select(F.col("s").alias("bucket"), "node", short.alias("short")).join(nodes, "node").select("bucket", "node", "root", "alone", "short")
+
+
+def _mixed(members: DataFrame, files: int) -> DataFrame:
+    """The rows of members (bucket, node, root, alone, short) in buckets with more than one component and a short member."""
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("short").alias("short")).where("lo <> hi and short").select("bucket")
+    return Table(members.join(Table(mixed, "mixed", files).df, "bucket"), "open", files).df
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,12 +300,18 @@ def _remaining(classes: DataFrame, hot: DataFrame, sets: DataFrame, roots: DataF
     known = sets.select("node").join(roots, "node", "left").join(alone.df, "node", "left")
     known = Table(known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("alone", F.lit(0)).cast("long").alias("alone")), "known", _files(n))
     usable = known.df.join(sizes, "node").where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "root", "alone")
-    members = Table(hot.join(_small(usable, n), "node").select("bucket", "node", "root", "alone"), "hot", _files(rows))
-    mixed = members.df.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = Table(members.df.join(Table(mixed, "mixed", _files(rows)).df, "bucket"), "open", _files(rows))
-    nodes = Table(open_.df.select("node").distinct(), "nodes", _files(n))
-    few = classes.join(_small(nodes.df, nodes.df.count()), "node", "left_semi")
-    return _across(open_.df, few, _files(rows), percent, miss)
+    members = Table(hot.join(_small(usable, n), "node").select("bucket", "node", "root", "alone", F.lit(True).alias("short")), "hot", _files(rows))
+    open_ = _mixed(members.df, _files(rows))
+    nodes = Table(open_.select("node").distinct(), "nodes", _files(n)).df
+    few = classes.join(_small(nodes, nodes.count()), "node", "left_semi")
+    shapes = Table(_shapes(open_), "shapes", _files(rows)).df
+    found = _across(open_, shapes.where(F.col("outer") <= WIDE), few, percent, miss, True)
+    wide = shapes.where(F.col("outer") > WIDE).select("bucket")
+    if not wide.isEmpty():
+        crowd = Table(open_.join(wide, "bucket").select("node", "root", "alone").distinct(), "crowd", _files(n)).df
+        by = _mixed(Table(_by_rare_shingles(crowd, sets, percent), "rare").df, _files(rows))
+        found = found.union(_across(by, _shapes(by), few, percent, miss, False))
+    return found.distinct()
 
 
 def _sets(docs: DataFrame, key: int) -> DataFrame:
