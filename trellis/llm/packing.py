@@ -126,7 +126,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, part_rows: int = 8192, rounds:
     A task never holds more than about part_rows rows whatever the size or skew of the input.
 
     With ``order`` the rows are first numbered by these columns. Partitions are then windows of consecutive rows, of about
-    WINDOW at first and part_rows when what is left is packed again, and sequence_id rises as the longest pieces of the
+    WINDOW at first and twice as many each time that what is left is packed again, up to part_rows, and sequence_id rises as the longest pieces of the
     sequences do in that order: a prefix of the sequences holds the rows of a prefix of the order, but for about one window
     and for less than one sequence of each window that is certified.
 
@@ -149,7 +149,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, part_rows: int = 8192, rounds:
     for r in range(rounds):
         if not n:
             break
-        k = max(1, -(-n // (min(WINDOW, part_rows) if order and not r else part_rows)))
+        k = max(1, -(-n // (min(WINDOW << r, part_rows) if order else part_rows)))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
         if order:
