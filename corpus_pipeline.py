@@ -6,40 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trellis.llm import dedup, mixing, packing, quality, toxicity
 from trellis.llm.queries import quality_model, tokenizer, toxicity_model
-from trellis.llm.shared import cut, ship
+from trellis.llm.shared import bound_batches, cut, ship
+
+
+def ready(spark: SparkSession) -> None:
+    """What each stage needs: the package on the executors, and batches that leave their memory to the five stages' buffers
+    and tables, which add up when one application runs them all."""
+    ship(spark)
+    bound_batches(spark)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose quality score is at least 0.7, by a model fitted on labelled documents outside the held-out
     quarter."""
-    ship(spark)
+    ready(spark)
     return quality.keep_good(docs, quality_model(spark, docs, sf_dir), 0.7)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity score is below 0.5, by a model fitted on labelled documents outside the held-out
     fifth."""
-    ship(spark)
+    ready(spark)
     return toxicity.keep_clean(docs, toxicity_model(spark, docs, sf_dir), 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more), that with the smallest doc_id."""
-    ship(spark)
+    ready(spark)
     return dedup.drop_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with mix_slot and mix_place: their order by the Pfair schedule of their sources (weights: square
     roots of the sources' sizes)."""
-    ship(spark)
+    ready(spark)
     return mixing.in_order(docs, places=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in sequences of 4096: one row per piece, with its sequence and offset. Sequences are
     numbered by the schedule of the stage before."""
-    ship(spark)
+    ready(spark)
     return packing.pack_documents(docs, tokenizer(), capacity=4096, end_id=1, order=["mix_slot", "mix_place"])
 
 

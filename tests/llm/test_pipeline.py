@@ -64,3 +64,34 @@ def test_sequences_follow_the_mixing_schedule(spark, docs_of, monkeypatch):
         assert all(abs(given.get(s, 0) - want.get(s, 0)) < window for s in "abc")
     ranks = {r["doc_id"]: i for i, r in enumerate(order)}
     assert sum(abs(ranks[r["doc_id"]] - i) for i, r in enumerate(dealt)) / len(got) < 256
+
+
+def test_rows_go_to_the_workers_in_bounded_batches(spark, data):
+    limit, sf = "spark.sql.execution.arrow.maxBytesPerBatch", f"{data}/sf0.001"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["rows", "bytes"])
+
+    def largest():
+        got = spark.range(0, 24, 1, 1).selectExpr("repeat('x', 1 << 20) as text").mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in got) == 24
+        return max(r["bytes"] for r in got)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+    before = spark.conf.get(limit, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(limit)
+            stage(spark, mixed if name == "packing" else docs, sf)
+            assert largest() < 6 << 20, name
+        spark.conf.set(limit, "1m")  # a limit of the session's own stays
+        corpus_pipeline.mix_sources(spark, docs, sf)
+        assert spark.conf.get(limit) == "1m" and largest() < 2 << 20
+    finally:
+        spark.conf.unset(limit)
+        if before is not None:
+            spark.conf.set(limit, before)

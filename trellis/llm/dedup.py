@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Table, slices
+from .shared import Table, release, slices
 
 #: Fewest and most bands; a band is eight one-byte signature places, of which bands() says how many make its key.
 BANDS, MOST_BANDS, ROWS = 48, 64, 8
@@ -17,6 +17,8 @@ BANDS, MOST_BANDS, ROWS = 48, 64, 8
 MISSED = 3e-7
 #: Members of a bucket that one task compares with each other or with as many others; larger buckets are dealt to blocks.
 BLOCK = 512
+#: Pairs whose bands are held at once (up to 1 kB each); bytes of texts that are shingled at once (a longer text alone).
+PAIRS, TEXTS = 1 << 14, 1 << 20
 #: Members of a bucket, on average, that all its blocks have.
 SHARED = 16
 #: In groups of more members, only a spanning forest of the most similar pairs is verified at first.
@@ -49,7 +51,7 @@ def sketch(docs: DataFrame, n_bands: int, key: int) -> DataFrame:
         from .shingles import set_hash, shingle_sets, signatures
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXTS):
                 sets = shingle_sets(part.column("text"), key)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 node, words = np.zeros(len(sets), np.int64), np.zeros((len(sets), n_bands), np.int64)
@@ -122,8 +124,8 @@ def _compare(percent: int, miss: float, forest: bool, banded: bool = True):
             keep = (both * 100 >= (n[x] + n[y] - both) * percent) & (root[x] != root[y])
             x, y = x[keep], y[keep]
             out = [(x[:0], y[:0], x[:0])]
-            for at in range(0, len(x), 1 << 16):
-                a, b = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            for at in range(0, len(x), PAIRS):
+                a, b = x[at : at + PAIRS], y[at : at + PAIRS]
                 if banded:
                     same = (bands[a] ^ bands[b]) & np.int64(key_mask) == 0
                     first = np.where(same.any(1), same.argmax(1), n_bands)
@@ -191,13 +193,17 @@ def _compare(percent: int, miss: float, forest: bool, banded: bool = True):
                 continue
             t = pa.concat_tables(held).combine_chunks()
             keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            held.clear()  # t has a copy
             last = np.logical_and.reduce([k == k[-1] for k in keys])
             whole = int(np.argmax(last))  # the last group may go on in the next batch
             if whole and (out := pairs(t.slice(0, whole))) is not None:
                 yield out
             held, rows = [t.slice(whole)], t.num_rows - whole
+            release()
         if held and (out := pairs(pa.concat_tables(held).combine_chunks())) is not None:
             yield out
+        held.clear()
+        release()
 
     return run
 
@@ -322,7 +328,7 @@ def _sets(docs: DataFrame, key: int) -> DataFrame:
         from .shingles import set_hash, shingle_sets
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXTS):
                 sets = [s for s in shingle_sets(part.column("text"), key) if len(s)]
                 if sets:
                     ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)

@@ -107,6 +107,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars
     into the hash. Only one row a source reaches the driver, and only a number a block leaves it. A null source is a source.
     Ties (rows equal in doc_id, text and size) fall in any order; repeated rows stay. mix_* columns of docs are replaced.
     An empty table gives an empty one."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("mix_block", "mix_place", "mix_slot")]
     pad = "_" * (1 + max((len(c) for c in keep), default=0))  # our own columns' names are longer than any of docs
@@ -131,7 +133,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars
         return docs.select(*(F.col(f"`{c}`") for c in keep), zero.alias("mix_block"), zero.alias("mix_place"), zero.alias("mix_slot"))
     blocks = {s: -(-t // block_chars) for s, t in totals.items()}
     slots = list(grouped(schedule(target_units(totals, weights), blocks)))
-    table = spark.createDataFrame(slots, f"`{pad}other` string, `{pad}group` long, `{pad}slots` array<long>")
+    kinds = {f"{pad}other": pa.string(), f"{pad}group": pa.int64(), f"{pad}slots": pa.list_(pa.int64())}
+    # an Arrow table goes to the JVM as it is; rows would take Python workers, and a second daemon, on the executors
+    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*slots, strict=True), kinds.values(), strict=True)], names=list(kinds)))
     if sum(blocks.values()) <= MAX_BROADCAST_SLOTS:
         table = F.broadcast(table)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

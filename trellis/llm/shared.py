@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to a Python worker, where bound_batches() is asked for.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -110,7 +114,6 @@ def slices(table_or_batch, column: str, limit: int = 4 << 20):
     n = len(arr)
     if not n:
         return
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -120,7 +123,26 @@ def slices(table_or_batch, column: str, limit: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield table_or_batch.slice(lo, hi - lo)
         lo = hi
-    pa.default_memory_pool().release_unused()  # workers live on, and share the executor's memory
+    release()
+
+
+def release() -> None:
+    """Give memory that was freed back to the system: workers live on from task to task, and share the executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only glibc has it, and only glibc keeps so much
+        trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to this session's Python workers in batches of about BATCH_BYTES (a row of more is a batch by itself),
+    unless the session has a limit of its own. Spark's is 64 MB or 10,000 rows; the executor and its workers hold each
+    batch several times at once, as buffers that double, as bytes that are sent and as the worker's table."""
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 _SHIPPED: set[str] = set()
